@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tessera.llm import packing, simhash
+from tessera.llm import packing, simhash, topk, warc
 
 
 def queries() -> dict:
     return {
+        "op1_warc": warc.op1_warc,
+        "op5_exact_topk": topk.op5_exact_topk,
         "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": warc.OP1_SQL, "op5_exact_topk": topk.OP5_SQL}
