@@ -12,13 +12,14 @@ rows and null ids keep all their pieces; an empty table gives no rows; other col
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections import defaultdict, deque
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,8 +29,8 @@ from tessera.session import drop_stored, prepare, stored, table
 #: Words kept per worker, so that memory stays bounded whatever the vocabulary.
 WORD_CACHE = 400_000
 #: Texts with only these characters are split into words here; others go through the tokenizer whole.
-PLAIN = regex.compile(r"[^\t\n\r\x20-\x7e¡-ɏ]|<\|")
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PLAIN = re.compile(r"[^\t\n\r\x20-\x7e¡-±´-¸º»¿-ɏ]|<\|")
+WORDS = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 _TOKENIZERS: dict[str, tuple] = {}
 
 
@@ -37,22 +38,39 @@ def tokenizer(path: str):
     """The tokenizer of a file and its cache of words, once a worker."""
     if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        tok, words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        words.normalizer = normalizers.Sequence([])
+        words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = json.loads(tok.to_str())["model"].get("end_of_word_suffix")
+        ends = np.zeros(tok.get_vocab_size(), bool)
+        for piece, i in tok.get_vocab().items():
+            ends[i] = bool(suffix) and piece.endswith(suffix)
+        _TOKENIZERS[path] = (tok, {}, words, ends)
     return _TOKENIZERS[path]
 
 
+def word_ids(words: list[str], tok, ends: np.ndarray, together: int = 200) -> list[bytes]:
+    """The ids of each word. Words are encoded many at a time; pieces that end a word say where to cut."""
+    texts = [" ".join(words[i : i + together]) for i in range(0, len(words), together)]
+    ids = np.array([i for e in tok.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], "<u4")
+    cuts = np.flatnonzero(ends[ids]) + 1
+    if len(cuts) != len(words):
+        return [np.asarray(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(words, add_special_tokens=False)]
+    flat, to = ids.tobytes(), (4 * cuts).tolist()
+    return [flat[a:b] for a, b in zip([0, *to], to)]
+
+
 def encode_all(texts: list[str | None], path: str) -> list[bytes]:
     """The ids of each text as little-endian 32-bit numbers. Words are encoded once and looked up after that,
     which is exact because no merge crosses a word of the pre-tokenizer."""
-    tok, cache = tokenizer(path)
+    tok, cache, word_tok, ends = tokenizer(path)
     plain = [None if t is None or PLAIN.search(t) else WORDS.findall(t.lower()) for t in texts]
     if len(cache) > WORD_CACHE:
         cache.clear()
     new = list({w for ws in plain if ws for w in ws if w not in cache})
-    for word, enc in zip(new, tok.encode_batch(new, add_special_tokens=False)):
-        cache[word] = np.asarray(enc.ids, "<u4").tobytes()
+    cache.update(zip(new, word_ids(new, word_tok, ends)))
     get = cache.__getitem__
     out = []
     for t, ws in zip(texts, plain):
