@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tessera.llm import packing, simhash, topk, warc
+from tessera.llm import langid, packing, pii, simhash, topk, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc": warc.op1_warc,
-        "op5_exact_topk": topk.op5_exact_topk,
+        "op2_pii": pii.op2_pii,
         "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+        "op5_exact_topk": topk.op5_exact_topk,
+        "op6_language_id": langid.op6_language_id,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
