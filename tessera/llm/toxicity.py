@@ -33,6 +33,8 @@ LISTS = {
     "disgust": "pathetic worthless disgusting useless despicable repulsive wertlos ekelhaft dégoûtant pitoyable patético asqueroso".split(),
 }
 MINED_VOTERS = 4
+#: Letters of the word beginnings that may be mined.
+STARTS = (4, 5, 6, 7)
 WORD = re.compile(r"[^\W\d_]+")
 SHOUT = re.compile(r"[^\W\d_]{3,}")
 CENSORED = re.compile(r"\b[^\W\d_]\*{2,}[^\W\d_]*")
@@ -43,14 +45,22 @@ PATTERNS = ("several", "addressed", "shouting", "censored", "bangs")
 TOXIC, CLEAN, NONE = 1, 0, 2
 
 
+def longer(n: int):
+    return lambda w: F.length(w) > n
+
+
+def start(n: int):
+    return lambda w: F.concat(F.substring(w, 1, n), F.lit("*"))
+
+
 def mine(labelled: DataFrame, least: int = 5, most: int = 400) -> list[str]:
-    """Words, and word beginnings of four letters (with a star), that mark toxic rows: seen in at least `least`
+    """Words, and word beginnings (with a star), that mark toxic rows: seen in at least `least`
     of them, rarely in clean ones, and with log odds well above their error.
 
     Toxic rows that open or end alike count once, so that copies of one text don't make its words look like markers."""
     words = F.array_distinct(F.expr("regexp_extract_all(lower(text), '\\\\p{L}+', 0)"))
-    starts = F.transform(F.filter(words, lambda w: F.length(w) > 5), lambda w: F.concat(F.substring(w, 1, 4), F.lit("*")))
-    units = F.explode(F.concat(words, F.array_distinct(starts))).alias("unit")
+    starts = [F.transform(F.filter(words, longer(n)), start(n)) for n in STARTS]
+    units = F.explode(F.concat(words, *map(F.array_distinct, starts))).alias("unit")
     ends = [F.xxhash64(x) for x in (F.substring("text", 1, 40), F.expr("right(text, 40)"))]
     toxic = labelled.filter("toxic = 1").select(ends[0].alias("head"), ends[1].alias("tail"), "text")
     n = toxic.agg(F.count_distinct("head"), F.count_distinct("tail")).first()
@@ -77,18 +87,20 @@ def reader(lists: dict[str, list[str]]) -> tuple[list[str], list[str], Callable[
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for ws in lists.values() for w in ws))}
     list_of = {w: {j for j, ws in enumerate(lists.values()) if w in set(ws)} for w in vocabulary}
     names, features = [*lists, *PATTERNS], [*vocabulary, *PATTERNS]
-    base, nl, starts = len(vocabulary), len(lists), any(w.endswith("*") for w in vocabulary)
+    base, nl, starts = len(vocabulary), len(lists), {n: {w[:-1] for w in vocabulary if w.endswith("*") and len(w) == n + 1} for n in STARTS}
 
     def read(text: str) -> tuple[list[int], list[int]]:
         words = WORD.findall(text.lower())
         distinct = set(words)
-        hits = vocabulary.keys() & (distinct | {w[:4] + "*" for w in distinct if len(w) > 5} if starts else distinct)
+        hits = {w for w in distinct if w in vocabulary}
+        begun = {n: {w[:n] for w in distinct if len(w) > n} & ws for n, ws in starts.items()}
+        hits |= {w + "*" for ws in begun.values() for w in ws}
         votes = [NONE] * len(names)
         found = sorted(vocabulary[w] for w in hits)
         for w in hits:
             for j in list_of[w]:
                 votes[j] = TOXIC
-        count = sum(w in hits or (len(w) > 5 and w[:4] + "*" in hits) for w in words) if hits else 0
+        count = sum(w in hits or any(w[:n] in ws and len(w) > n for n, ws in begun.items()) for w in words) if hits else 0
         flags = [count >= 2, bool(hits) and bool(ADDRESS.search(text)), False, "**" in text and bool(CENSORED.search(text)), "!!!" in text]
         if text.isupper() or hits:
             shouted = [w for w in SHOUT.findall(text) if w.isupper()]
