@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import langid, packing, pii, simhash, topk, toxicity, warc
+from tessera.llm import decontam, langid, packing, pii, simhash, tokencount, topk, toxicity, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
         "op5_exact_topk": topk.op5_exact_topk,
         "op6_language_id": langid.op6_language_id,
+        "op7_decontamination": decontam.op7_decontamination,
+        "op8_token_counts": tokencount.op8_token_counts,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
