@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tessera.llm import decontam, langid, packing, pii, simhash, tokencount, topk, toxicity, warc
 
 
@@ -16,6 +17,7 @@ def queries() -> dict:
         "op8_token_counts": tokencount.op8_token_counts,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
+        "pipeline": corpus_pipeline.run,
     }
 
 

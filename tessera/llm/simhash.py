@@ -16,6 +16,7 @@ its group (null if there is none).
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -77,8 +78,10 @@ def pivots(n: int = 24) -> np.ndarray:
     return np.random.default_rng(20_24).integers(0, 1 << 64, n, np.uint64)
 
 
-def linked_in_blocks(block: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within each block; rows are sorted by block."""
+def linked_in_blocks(block: np.ndarray, fp: np.ndarray, node: np.ndarray, more: np.ndarray, distance: int, limit: int) -> tuple[list[int], list[int]]:
+    """A spanning forest of the links within each block, as nodes; rows are sorted by block.
+
+    more: further fingerprints of each row, whose differing bits together may be `limit` at most."""
     refs = pivots()
     coords = np.bitwise_count(fp[:, None] ^ refs[None, :]).astype(np.int8)
     parent: dict[int, int] = {}
@@ -89,27 +92,27 @@ def linked_in_blocks(block: np.ndarray, fp: np.ndarray, distance: int) -> tuple[
         return x
 
     left, right, at, step = [], [], np.arange(len(fp)), 1
-    bits = fp.view(np.int64).tolist()
     while True:
         at = at[at < len(fp) - step]
         at = at[block[at] == block[at + step]]
         if not len(at):
-            return np.array(left, np.int64), np.array(right, np.int64)
+            return left, right
         near = at
         for p in range(0, coords.shape[1], 6):  # a few pivots at a time: most pairs are gone after the first
             near = near[np.abs(coords[near, p : p + 6] - coords[near + step, p : p + 6]).max(axis=1) <= distance]
         near = near[np.bitwise_count(fp[near] ^ fp[near + step]) <= distance]
-        for i in near.tolist():
-            x, y = bits[i], bits[i + step]
+        if more.shape[1]:
+            near = near[np.bitwise_count(more[near] ^ more[near + step]).sum(axis=1, dtype=np.int64) <= limit]
+        for x, y in zip(node[near].tolist(), node[near + step].tolist()):
             if (rx := root(x)) != (ry := root(y)):
                 parent[ry] = rx
                 left.append(x), right.append(y)
         step += 1
 
 
-def links(fps: DataFrame, distance: int = 4) -> DataFrame:
-    """(a, b): links that join the same components as all pairs of fingerprints at `distance` or less."""
-    spark = fps.sparkSession
+def links(fps: DataFrame, distance: int = 4, node: str = "fp", more: tuple[str, ...] = (), limit: int = 0) -> DataFrame:
+    """(a, b): links between nodes that join the same components as all pairs whose column fp differs in
+    `distance` bits at most and whose columns `more` differ in `limit` bits together."""
     segs = segments_for(distance, fps.count())
     keep = len(segs) - distance
     keys = []
@@ -118,26 +121,31 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
         for first, bits in chosen:
             key = F.shiftleft(key, bits).bitwiseOR(F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << bits) - 1).cast("long")))
         keys.append(key)
-    keyed = fps.select("fp", F.posexplode(F.array(*keys)).alias("choice", "key"))
+    rest = [F.col(node).alias("node"), *more] if node != "fp" else []
+    keyed = fps.select("fp", *rest, F.posexplode(F.array(*keys)).alias("choice", "key"))
     sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).filter(f"n > {DENSE}")
-    dealt = keyed.join(sizes, ["choice", "key"], "left").withColumn("blocks", F.ceil(F.coalesce("n", F.lit(1)) / F.lit(DENSE // 2 if DENSE > 1 else 1)))
-    mine = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks"))
-    dealt = dealt.withColumn("mine", F.when(F.col("n").isNull(), 0).otherwise(mine))
-    dealt = dealt.withColumn("other", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
-    dealt = dealt.select(F.xxhash64("choice", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), "fp")
+    half = DENSE // 2
+    dealt = keyed.join(sizes, ["choice", "key"], "left").withColumn("blocks", F.when(F.col("n").isNull(), F.lit(1).cast("long")).otherwise(F.ceil(F.col("n") / half)))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    block = F.xxhash64("choice", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("block")
+    dealt = dealt.select(block, "fp", *(["node", *more] if rest else []))
 
     def run(batches):
-        held_b, held_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held = None
         for b in batches:
-            block = np.concatenate([held_b, b.column(0).to_numpy()])
-            fp = np.concatenate([held_f, b.column(1).to_numpy().view(np.uint64)])
-            whole = int(np.searchsorted(block, block[-1])) if len(block) else 0  # the last block may go on
-            held_b, held_f = block[whole:], fp[whole:]
-            yield links_of(block[:whole], fp[:whole])
-        yield links_of(held_b, held_f)
-
-    def links_of(block, fp):
-        a, b = linked_in_blocks(block, fp, distance)
+            cols = [c.to_numpy() for c in b.columns]
+            cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
+            whole = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last block may go on
+            held = [c[whole:] for c in cols]
+            yield links_of([c[:whole] for c in cols])
+        if held is not None:
+            yield links_of(held)
+
+    def links_of(cols):
+        fp = cols[1].view(np.uint64)
+        extra = np.stack([c.view(np.uint64) for c in cols[3:]], axis=1) if len(cols) > 3 else np.zeros((len(fp), 0), np.uint64)
+        a, b = linked_in_blocks(cols[0], fp, cols[2] if len(cols) > 2 else cols[1], extra, distance, limit)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long").distinct()
@@ -159,3 +167,63 @@ def groups(df: DataFrame, words: int = 4, distance: int = 4, id_col: str = "doc_
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+#: For near copies by similarity: two fingerprints of the set of words find candidates, three of the set of
+#: five-word shingles say how alike they are. Texts of Jaccard similarity s differ in a share of about
+#: acos(2s / (1 + s)) / pi of the shingle bits.
+WORD_SEEDS, SHINGLE_SEEDS, WORD_BITS = (42, 7), (42, 7, 9), 6
+
+
+def set_fingerprint(features: set[bytes], seed: int) -> int:
+    if not features:
+        return 0
+    h = np.array([xxhash.xxh64_intdigest(x, seed) for x in features], ">u8")
+    count = sum(np.unpackbits(h[i : i + CHUNK].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) for i in range(0, len(h), CHUNK))
+    return int.from_bytes(np.packbits(2 * count > len(h)).tobytes(), "big")
+
+
+def set_fingerprints(text: bytes, words: int) -> list[int]:
+    """Fingerprints of the set of words and of the set of shingles of a text."""
+    toks = text.lower().split()
+    shingles = {b" ".join(toks[i : i + words]) for i in range(max(1, len(toks) - words + 1))} if toks else set()
+    return [*(set_fingerprint(set(toks), s) for s in WORD_SEEDS), *(set_fingerprint(shingles, s) for s in SHINGLE_SEEDS)]
+
+
+def similar_groups(df: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component): groups of texts whose shingle sets are estimated to be at least so similar.
+
+    Ids are whole numbers; rows with a null id take no part and rows of one id are one document."""
+    prepare(df.sparkSession)
+    names = [*(f"w{s}" for s in WORD_SEEDS), *(f"s{s}" for s in SHINGLE_SEEDS)]
+    shingle_names = tuple(names[len(WORD_SEEDS) :])
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * len(SHINGLE_SEEDS)
+    limit = round(bits * share + 1.3 * math.sqrt(bits * share * (1 - share)))  # nine in ten pairs right at the threshold
+
+    def run(batches):
+        for b in batches:
+            fps = np.array([set_fingerprints(t or b"", words) for t in b.column(1).cast(pa.binary()).to_pylist()], np.uint64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(fps[:, i]).view(np.int64)) for i in range(len(names)))], names=["id", *names])
+
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
+    docs = stored(rows.mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in names)), "set-fingerprints")
+    classes = stored(docs.groupBy(*names).agg(F.min("id").alias("first")), "set-classes")
+    found = None
+    for n in names[: len(WORD_SEEDS)]:
+        one = links(classes.select(F.col(n).alias("fp"), "first", *shingle_names), WORD_BITS, "first", shingle_names, limit)
+        found = one if found is None else found.unionByName(one)
+    parts = connected_components(stored(found, "set-links"))
+    named = classes.join(parts.withColumnRenamed("node", "first"), "first", "left").select(*names, F.coalesce("component", "first").alias("component"))
+    return docs.join(named, names).select(F.col("id").alias(id_col), "component")
+
+
+def dedup(df: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with the smallest id of each group only. Rows with a null id are kept; of rows that share an id one stays."""
+    found = stored(similar_groups(df, similarity, words, id_col, text_col), "similar")
+    gone = found.filter(F.col("component") < F.col(id_col)).select(F.col(id_col).cast(df.schema[id_col].dataType)).distinct()
+    kept = df.join(gone, id_col, "left_anti").select(*df.columns)
+    repeated = not found.groupBy(id_col).count().filter("count > 1").isEmpty()
+    if repeated:
+        kept = kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.filter(F.col(id_col).isNull()))
+    return kept
