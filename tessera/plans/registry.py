@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "er_block_tokens_topk"
+from tessera.plans import queries as linkage
+
+FLAGSHIP = "er_block_reserved_topk"
 
 
 def queries() -> dict:
-    return {}
+    return linkage.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return linkage.oracle_sql()
