@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import decontam, langid, packing, pii, simhash, tokencount, topk, toxicity, warc
+from tessera.llm import decontam, langid, packing, pii, simhash, suffix, tokencount, topk, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op1_warc": warc.op1_warc,
         "op2_pii": pii.op2_pii,
         "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+        "op4_suffix_array_dedup": suffix.op4_suffix_array_dedup,
         "op5_exact_topk": topk.op5_exact_topk,
         "op6_language_id": langid.op6_language_id,
         "op7_decontamination": decontam.op7_decontamination,
