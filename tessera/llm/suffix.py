@@ -14,7 +14,7 @@ that turn out unique drop out:
 
 Texts lie in packs of bounded size in a table that is bucketed by pack, so that they are never shuffled;
 entries travel as blobs, a blob for each pack and bucket of names. Two different strings are taken for equal
-only if 128 bits of their names agree.
+only if 96 bits of their names agree.
 
 Defined results: a null text is empty; rows of one id don't remove from one another; rows with a null id keep
 everything and remove nothing; repeated rows are each answered; an empty table gives no rows; other columns
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,11 +132,6 @@ class Pack:
         lead, self.later = least_first(self.run, doc)
         self.sent = np.flatnonzero(lead & (doc != NOBODY))
 
-    def light(self) -> None:
-        """Forgets what only windows need."""
-        for r in self.runs:
-            r.name = None
-
     def blobs(self, key: np.ndarray, doc: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
         """(bucket, columns and documents) of entries, by key."""
         bucket = (key % np.uint64(self.buckets)).astype(np.int64)
@@ -145,8 +141,9 @@ class Pack:
             at = order[cut[b] : cut[b + 1]]
             if len(at):
                 own, place = np.unique(doc[at], return_inverse=True)
-                head = np.array([len(at), len(own)], np.int64)
-                yield b, b"".join([head.tobytes(), own.tobytes(), place.astype(np.uint32).tobytes() if len(own) > 65535 else place.astype(np.uint16).tobytes(), *(c[at].tobytes() for c in columns)])
+                # documents come in order, so their steps are small numbers that pack well
+                docs = zlib.compress(np.diff(own, prepend=0).tobytes() + np.diff(place, prepend=0).astype(np.int32).tobytes(), 1)
+                yield b, b"".join([np.array([len(at), len(own), len(docs)], np.int64).tobytes(), docs, *(c[at].tobytes() for c in columns)])
 
     def answers(self, key: np.ndarray, found: dict[int, bytes]) -> np.ndarray:
         """What the buckets said of each entry."""
@@ -176,7 +173,7 @@ class Pack:
 
     def open_windows(self) -> Iterator[tuple[int, bytes]]:
         at = self.window_sent
-        yield from self.blobs(self.x[at], self.window_doc[at], [self.x[at], self.y[at]])
+        yield from self.blobs(self.x[at], self.window_doc[at], [self.x[at], (self.y[at] >> np.uint64(32)).astype(np.uint32)])
 
     def removed(self, found: dict[int, bytes]) -> np.ndarray:
         """Whether each byte goes."""
@@ -194,14 +191,12 @@ class Pack:
 
 
 def unpacked(blob: bytes, kinds: list) -> tuple[np.ndarray, list[np.ndarray]]:
-    n, m = np.frombuffer(blob, np.int64, 2).tolist()
-    own, at = np.frombuffer(blob, np.int64, m, 16), 16 + 8 * m
-    kind = np.uint32 if m > 65535 else np.uint16
-    doc = own[np.frombuffer(blob, kind, n, at)]
-    at += n * np.dtype(kind).itemsize
-    columns = []
+    n, m, size = np.frombuffer(blob, np.int64, 3).tolist()
+    docs = zlib.decompress(blob[24 : 24 + size])
+    doc = np.cumsum(np.frombuffer(docs, np.int64, m))[np.cumsum(np.frombuffer(docs, np.int32, n, 8 * m))]
+    columns, at = [], 24 + size
     for k in kinds:
-        columns.append(np.frombuffer(blob, k, n, at))
+        columns.append(np.frombuffer(blob[at : at + n * np.dtype(k).itemsize], k))
         at += n * np.dtype(k).itemsize
     return doc, columns
 
@@ -227,7 +222,7 @@ def judge_anchors(blobs: list[bytes]) -> np.ndarray:
 
 def judge_windows(blobs: list[bytes]) -> np.ndarray:
     """2: an earlier document has the same window; else 0."""
-    got = [unpacked(b, [np.uint64, np.uint64]) for b in blobs]
+    got = [unpacked(b, [np.uint64, np.uint32]) for b in blobs]
     doc, x, y = np.concatenate([d for d, _ in got]), *(np.concatenate([c[i] for _, c in got]) for i in (0, 1))
     order = np.lexsort((doc, y, x))
     x, y, d = x[order], y[order], doc[order]
