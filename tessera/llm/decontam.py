@@ -1,11 +1,12 @@
 """Benchmark decontamination by latent semantic retrieval, then exact checks of word order and answers.
 
-Passages are runs of blocks of BLOCK words. One pass over the whole corpus counts, for each word of the
-benchmark, the blocks that hold it (inverse document frequency), and applies the blocks' term matrix and its
+Passages are runs of blocks of BLOCK words. One pass over the whole corpus counts each benchmark word's
+occurrences in blocks (for the inverse frequency) and applies the blocks' term matrix and its
 transpose to a random matrix: the range finder of a randomised singular value decomposition, summed over
 tasks. Its orthonormal range, joined by the benchmark items' own directions, is the latent space. The second
-pass projects passages and takes each item's cosine; a passage whose benchmark words make up too little of
-its length can't reach the threshold (Cauchy-Schwarz) and isn't projected. Candidates are verified by the
+pass projects passages and takes each item's cosine, against the passage's whole length. For groups of items
+a sum over the passage's words bounds the cosine with any of them; passages that can't reach the threshold
+with any group aren't projected. Candidates are verified by the
 longest common subsequence of words, taken whole or, for paraphrases, with a check that the item's rarest
 words - its answer - are there. Documents are never shuffled; what tasks send is one matrix, and those are
 summed in two steps. The benchmark is taken in parts of `part` items, each a pass of its own, so what is sent
@@ -28,14 +29,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import prepare, stored, table
+from tessera.session import prepare, table
 
 BLOCK = 16
 #: Blocks a passage: one size for items of up to 32 words, one for longer ones; items are cut at 64 words.
 SMALL, LARGE, SEGMENT = 3, 6, 64
 RANK = 16
-COSINE = 0.3
+COSINE = 0.35
 SLOTS = 64
+#: Groups of items that share a bound.
+GROUPS = 16
 PUNCTUATION = bytes(32 if chr(i) in string.punctuation else i for i in range(256))
 
 
@@ -94,7 +97,7 @@ def blocks(first: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def corpus_pass(docs: DataFrame, sent, omega_seed: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Blocks, blocks that hold each word, and the transposed term matrix times itself times a random matrix."""
+    """Blocks, each word's occurrences, and the transposed term matrix times itself times a random matrix."""
 
     def gather(batches):
         items = sent.value
@@ -110,8 +113,7 @@ def corpus_pass(docs: DataFrame, sent, omega_seed: int) -> tuple[int, np.ndarray
             block = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
             known = ids >= 0
             w, block = ids[known], block[known]
-            pair = np.unique(block.astype(np.int64) * d + w)
-            df += np.bincount(pair % d, minlength=d)
+            df += np.bincount(w, minlength=d)
             at = np.flatnonzero(np.diff(block, prepend=-1))
             if len(at):
                 u = np.add.reduceat(omega[w], at, axis=0)
@@ -141,13 +143,19 @@ def corpus_pass(docs: DataFrame, sent, omega_seed: int) -> tuple[int, np.ndarray
 
 def latent_space(items: Items, n: int, df: np.ndarray, y: np.ndarray) -> dict:
     """Term weights, the latent basis and the items' directions in it."""
-    idf = np.log((1 + n) / (1 + df)) + 0.05
+    idf = np.maximum(np.log((1 + n) / (1 + df)), 0) + 0.05
     tf = np.zeros((len(items.words), len(idf)))
     for i, ws in enumerate(items.words):
         np.add.at(tf[i], ws, 1)
     own = tf * idf
     basis, _ = np.linalg.qr(np.concatenate([own.T, idf[:, None] * y / (np.linalg.norm(y, axis=0) + 1e-12)], axis=1))
     latent = own @ basis
+    length = np.linalg.norm(own, axis=1, keepdims=True) + 1e-12
+    small = np.array([len(ws) <= 2 * BLOCK for ws in items.words], bool)
+    bounds = {}
+    for kind in (True, False):  # the most that one occurrence of a word adds to the cosine's numerator in a group
+        group = np.array_split(np.flatnonzero(small == kind), GROUPS)
+        bounds[kind] = np.stack([(tf[g] / length[g]).max(axis=0, initial=0) * idf**2 for g in group], axis=1).astype(np.float32)
     rare = []
     for ws in items.words:  # the answer: the fifth of the distinct words, three at least, that is rarest
         distinct = sorted(set(ws), key=lambda w: (-idf[w], w))
@@ -156,112 +164,146 @@ def latent_space(items: Items, n: int, df: np.ndarray, y: np.ndarray) -> dict:
         "idf": idf.astype(np.float32),
         "other": float(np.median(idf)) if len(idf) else 1.0,
         "terms": (basis * idf[:, None]).astype(np.float32),
-        "latent": (latent / (np.linalg.norm(latent, axis=1, keepdims=True) + 1e-12)).astype(np.float32),
-        "small": np.array([len(ws) <= 2 * BLOCK for ws in items.words], bool),
+        "latent": (latent / length).astype(np.float32),
+        "small": small,
+        "bounds": bounds,
         "rare": rare,
     }
 
 
+def block_sums(rows: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by block; block is sorted and may leave blocks out."""
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    at = np.flatnonzero(np.diff(block, prepend=-1))
+    if len(at):
+        out[block[at]] = np.add.reduceat(rows, at, axis=0)
+    return out
+
+
 def candidates(space: dict, ids: np.ndarray, starts: np.ndarray, text: np.ndarray, total: int) -> Iterator[tuple[int, int, int, float]]:
     """(first block, blocks, item, cosine) of passages whose cosine with an item reaches the threshold."""
-    weight = np.where(ids >= 0, space["idf"][ids], 0).astype(np.float64) if len(ids) else np.zeros(0)
-    known = np.add.reduceat(weight**2, starts)
-    other = np.add.reduceat((ids < 0).astype(np.float64), starts) * space["other"] ** 2
+    n = len(starts)
+    sizes = np.diff(np.append(starts, total))
+    block = np.repeat(np.arange(n), sizes)
+    known = ids >= 0
+    w, block = ids[known], block[known]
+    square = np.bincount(block, weights=(space["idf"] ** 2)[w], minlength=n)
+    square += (sizes - np.bincount(block, minlength=n)) * space["other"] ** 2
+    first = np.searchsorted(block, np.arange(n + 1))  # known words of each block
     last = np.searchsorted(text, text, side="right")  # the block after the text's last
-    at = np.arange(len(starts))
-    for size, chosen in ((SMALL, space["small"]), (LARGE, ~space["small"])):
-        item = np.flatnonzero(chosen)
+    at = np.arange(n)
+    for size, kind in ((SMALL, True), (LARGE, False)):
+        item = np.flatnonzero(space["small"] == kind)
         if not len(item):
             continue
         stop = np.minimum(at + size, last)
         begins = (stop - at == size) | (at == 0) | (text != np.roll(text, 1))  # short texts are one passage
-        csum = [np.concatenate([[0], np.cumsum(x)]) for x in (known, other)]
-        k, o = (c[stop] - c[at] for c in csum)
-        # the cosine can't exceed the root of the share that benchmark words have in the passage's squared length
-        could = np.flatnonzero(begins & (k > 0) & (k >= COSINE**2 * (k + o)))
-        for part in np.array_split(could, max(1, len(could) // 2000)):
+        upto = np.concatenate([[0], np.cumsum(square)])
+        length = np.sqrt(np.maximum(upto[stop] - upto[at], 1e-9))
+        bound = block_sums(space["bounds"][kind][w], block, n)
+        reach = bound.copy()
+        for i in range(1, size):
+            inside = np.flatnonzero(at + i < stop)
+            reach[inside] += bound[inside + i]
+        could = np.flatnonzero(begins & (reach.max(axis=1) >= COSINE * length))
+        for part in np.array_split(could, max(1, len(could) // 4000)):
             if not len(part):
                 continue
-            need = np.unique(np.concatenate([part + i for i in range(size)]))
-            need = need[need < len(starts)]
-            ends = np.append(starts, total)[need + 1]
-            flat = np.concatenate([np.arange(a, b) for a, b in zip(starts[need], ends)])
-            cut = np.cumsum(ends - starts[need]) - (ends - starts[need])
-            w = ids[flat]
-            vec = np.where((w >= 0)[:, None], space["terms"][w], 0)
-            vec = np.add.reduceat(vec, cut, axis=0)
+            need = np.unique((part[:, None] + np.arange(size)[None, :]).ravel())
+            need = need[need < n]
+            count = first[need + 1] - first[need]
+            flat = np.repeat(first[need] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            vec = block_sums(space["terms"][w[flat]], np.repeat(np.arange(len(need)), count), len(need))
             place = np.searchsorted(need, part)
             passage = np.zeros((len(part), vec.shape[1]), np.float32)
             for i in range(size):
                 inside = part + i < stop[part]
                 passage[inside] += vec[place[inside] + i]
-            length = np.sqrt(np.maximum((passage**2).sum(axis=1), 0) + o[part]) + 1e-9
-            cos = passage @ space["latent"][item].T / length[:, None]
+            cos = passage @ space["latent"][item].T / length[part][:, None]
             for r, c in zip(*np.nonzero(cos >= COSINE)):
                 yield int(part[r]), int(stop[part[r]] - part[r]), int(item[c]), float(cos[r, c])
 
 
+def found_in(items: Items, space: dict, texts: list[str | None], overlap: float, paraphrase: float) -> dict[tuple[int, object], tuple]:
+    """(row, item): (overlap, cosine, common words, item's words, answer found) of verified matches."""
+    ids, first, lengths = numbered(items, texts)
+    starts, text = blocks(first, lengths)
+    best: dict[tuple[int, object], tuple] = {}
+    for at, size, item, cos in candidates(space, ids, starts, text, len(ids)) if len(starts) else ():
+        doc, own = int(text[at]), items.words[item]
+        lo = max(int(first[doc]), int(starts[at]) - BLOCK)
+        hi = min(int(first[doc] + lengths[doc]), int(starts[at]) + (size + 1) * BLOCK)
+        near = ids[lo:hi].tolist()
+        have = set(near)
+        if sum(w in have for w in own) < paraphrase * len(own):
+            continue
+        common = lcs(own, near)
+        answer = len(space["rare"][item] & have) >= 0.8 * len(space["rare"][item])
+        if common >= overlap * len(own) or (answer and common >= paraphrase * len(own)):
+            key = (doc, items.ids[item])
+            got = (common / len(own), cos, common, len(own), answer)
+            best[key] = max(best.get(key, got), got)
+    return best
+
+
+def parts_of(docs: DataFrame, benchmark: DataFrame, least: int, part: int, text_col: str, item_col: str) -> Iterator[tuple]:
+    """Broadcast items and latent space of each part of the benchmark, fitted over all of docs."""
+    spark = docs.sparkSession
+    prepare(spark)
+    rows = docs.select(F.col(text_col).alias("text"))
+    bench = benchmark.select(F.col(item_col).alias("item"), F.col("text").alias("body")).filter("item is not null and body is not null")
+    parts = max(1, -(-bench.count() // part))
+    for p in range(parts):
+        held = bench.filter(F.pmod(F.xxhash64("item", "body"), F.lit(parts)) == p)
+        items = Items(sorted((r.item, r.body) for r in held.collect()), least)  # about `part` rows
+        if items.words:
+            sent = spark.sparkContext.broadcast(items)
+            yield sent, spark.sparkContext.broadcast(latent_space(items, *corpus_pass(rows, sent, 11)))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, paraphrase: float = 0.6, least: int = 8, part: int = 400, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """(id, item, cosine, lcs, item_words, answer): passages of documents that hold an item or a paraphrase of it."""
     spark = docs.sparkSession
-    prepare(spark)
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"{id_col} {id_type}, {item_col} {item_type}, cosine double, lcs long, item_words long, answer boolean"
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    bench = benchmark.select(F.col(item_col).alias("item"), F.col("text").alias("body")).filter("item is not null and body is not null")
-    n_items = bench.count()
-    parts = max(1, -(-n_items // part))
+
+    def search(sent, sent_space):
+        def run(batches):
+            items, space = sent.value, sent_space.value
+            for b in batches:
+                best = found_in(items, space, b.column(1).to_pylist(), overlap, paraphrase)
+                keys = list(best)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array([d for d, _ in keys], pa.int64())), pa.array([i for _, i in keys], pa.array(items.ids).type)]
+                    + [pa.array([best[k][j] for k in keys], t) for j, t in ((1, pa.float64()), (2, pa.int64()), (3, pa.int64()), (4, pa.bool_()))],
+                    names=[id_col, item_col, "cosine", "lcs", "item_words", "answer"],
+                )
+
+        return run
+
     out = None
-    for p in range(parts):
-        held = bench.filter(F.pmod(F.xxhash64("item", "body"), F.lit(parts)) == p)
-        found = _matches(spark, rows, Items(sorted((r.item, r.body) for r in held.collect()), least), schema, id_col, item_col, overlap, paraphrase)
+    for sent, space in parts_of(docs, benchmark, least, part, text_col, item_col):
+        found = docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(search(sent, space), schema)
         out = found if out is None else out.unionByName(found)
-    return out
+    return spark.createDataFrame([], schema) if out is None else out
 
 
-def _matches(spark: SparkSession, rows: DataFrame, items: Items, schema: str, id_col: str, item_col: str, overlap: float, paraphrase: float) -> DataFrame:
-    if not items.words:
-        return spark.createDataFrame([], schema)
-    sc = spark.sparkContext
-    sent = sc.broadcast(items)  # bounded by `part` and the items' words
-    space = latent_space(items, *corpus_pass(rows, sent, 11))
-    sent_space = sc.broadcast(space)
-    item_type = pa.array(items.ids).type
+def clean(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, paraphrase: float = 0.6, least: int = 8, part: int = 400, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """docs without those that hold a benchmark item. They are searched where they are, not moved."""
+    at, out = docs.columns.index(text_col), docs
 
-    def run(batches):
-        items, space = sent.value, sent_space.value
-        for b in batches:
-            ids, first, lengths = numbered(items, b.column(1).to_pylist())
-            starts, text = blocks(first, lengths)
-            best: dict[tuple[int, object], tuple] = {}
-            for at, size, item, cos in candidates(space, ids, starts, text, len(ids)) if len(starts) else ():
-                doc, own = int(text[at]), items.words[item]
-                lo = max(int(first[doc]), int(starts[at]) - BLOCK)
-                hi = min(int(first[doc] + lengths[doc]), int(starts[at]) + (size + 1) * BLOCK)
-                near = ids[lo:hi].tolist()
-                have = set(near)
-                if sum(w in have for w in own) < paraphrase * len(own):
-                    continue
-                common = lcs(own, near)
-                answer = len(space["rare"][item] & have) >= 0.8 * len(space["rare"][item])
-                if common >= overlap * len(own) or (answer and common >= paraphrase * len(own)):
-                    key = (doc, items.ids[item])
-                    got = (common / len(own), cos, common, len(own), answer)
-                    best[key] = max(best.get(key, got), got)
-            keys = list(best)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array([d for d, _ in keys], pa.int64())), pa.array([i for _, i in keys], item_type)]
-                + [pa.array([best[k][j] for k in keys], t) for j, t in ((1, pa.float64()), (2, pa.int64()), (3, pa.int64()), (4, pa.bool_()))],
-                names=[id_col, item_col, "cosine", "lcs", "item_words", "answer"],
-            )
-
-    return rows.mapInArrow(run, schema)
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without those that hold a benchmark item. Rows with a null id are kept."""
-    bad = stored(matches(docs, benchmark, id_col=id_col), "leaks").select(id_col).distinct()
-    return docs.join(bad, id_col, "left_anti")
+    def keep(sent, sent_space):
+        def run(batches):
+            items, space = sent.value, sent_space.value
+            for b in batches:
+                bad = {d for d, _ in found_in(items, space, b.column(at).to_pylist(), overlap, paraphrase)}
+                yield b.filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_()))
+
+        return run
+
+    for sent, space in parts_of(docs, benchmark, least, part, text_col, item_col):
+        out = out.mapInArrow(keep(sent, space), docs.schema)
+    return out
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
