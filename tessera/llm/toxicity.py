@@ -17,6 +17,7 @@ are scored; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
@@ -168,15 +169,33 @@ def part_of(df: DataFrame, n: int, most: int, id_col: str = "id") -> DataFrame:
     return df if n <= most else df.filter(F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1_000_000)) < int(1_000_000 * most / n))
 
 
-def score(docs: DataFrame, labelled: DataFrame, max_labelled: int = 20_000, max_fitted: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score): labelled holds (id, toxic 0/1) of the rows that may be learned from."""
+class Model:
+    """A fitted classifier: the lists that texts are read by, and the weights of what is found."""
+
+    def __init__(self, lists: dict[str, list[str]], weights: np.ndarray):
+        self.lists, self.weights = lists, weights
+
+    def scorer(self) -> Callable[[str | None], float]:
+        _, _, read = reader(self.lists)
+        w, bias = self.weights[:-1].tolist(), float(self.weights[-1])
+
+        def one(text: str | None) -> float:
+            z = bias + sum(w[i] for i in read(text or "")[1])
+            return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
+
+        return one
+
+
+def fit(docs: DataFrame, labelled: DataFrame, max_labelled: int = 20_000, max_fitted: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
+    """The model, and a stored table (id, found) of what each row holds. labelled has (id, toxic 0/1) of the rows
+    that may be learned from."""
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     gold = labelled.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic"))
     gold = stored(gold, "toxic-labels")
-    n_gold = gold.count()
-    sample = stored(docs.join(part_of(gold, n_gold, max_labelled), "id"), "toxic-sample")
+    picked = part_of(gold, gold.count(), max_labelled)
+    sample = stored(docs.join(F.broadcast(picked), "id"), "toxic-sample")  # max_labelled rows bound what is broadcast
     lists = lists_of(mine(sample))
     names, features, read = reader(lists)
     id_type = docs.schema["id"].dataType.simpleString()
@@ -196,13 +215,13 @@ def score(docs: DataFrame, labelled: DataFrame, max_labelled: int = 20_000, max_
         counted[r.votes, -1] -= r.n
     counted = {k: n for k, n in counted.items() if n > 0}
     if not counted:
-        return rows.select(F.col("id").alias(id_col), F.lit(0.0).alias("score"))
+        return Model(lists, np.append(np.zeros(len(features)), -5.0)), rows
     keys = sorted(counted)
     toxic_share = [sum(n for (_, g), n in counted.items() if g == want) for want in (1, 0)]
     prior = toxic_share[0] / sum(toxic_share) if sum(toxic_share) else 0.05
     patterns = np.array([[int(c) for c in k[0]] for k in keys], np.int8)
     post, _, _ = label_model(patterns, np.array([counted[k] for k in keys], float), np.array([k[1] for k in keys]), max(prior, 0.005))
-    plain = {}  # posterior without a known label, for the rows that the classifier learns
+    plain: dict[str, list[float]] = {}  # posteriors of the vote patterns, which the classifier learns
     for k, p in zip(keys, post):
         got = plain.setdefault(k[0], [0.0, 0.0])
         got[0] += p * counted[k]
@@ -210,12 +229,31 @@ def score(docs: DataFrame, labelled: DataFrame, max_labelled: int = 20_000, max_
     distinct = rows.groupBy("votes", "found").agg(F.count("*").alias("n"))
     fitted = part_of(distinct, distinct.count(), max_fitted, "found").collect()
     target = np.array([plain[r.votes][0] / plain[r.votes][1] for r in fitted])
-    w = fit_linear([r.found for r in fitted], target, np.array([r.n for r in fitted], float), len(features)) if fitted else np.zeros(len(features) + 1)
-    weights = F.array(*[F.lit(float(x)) for x in w[:-1]])
-    z = F.aggregate("found", F.lit(float(w[-1])), lambda acc, i: acc + F.element_at(weights, i + 1))
+    w = fit_linear([r.found for r in fitted], target, np.array([r.n for r in fitted], float), len(features)) if fitted else np.append(np.zeros(len(features)), -5.0)
+    return Model(lists, w), rows.select("id", "found")
+
+
+def score(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """(id, score) of every row."""
+    model, rows = fit(docs, labelled, id_col=id_col, **options)
+    weights = F.array(*[F.lit(float(x)) for x in model.weights[:-1]])
+    z = F.aggregate("found", F.lit(float(model.weights[-1])), lambda acc, i: acc + F.element_at(weights, i + 1))
     return rows.select(F.col("id").alias(id_col), (1 / (1 + F.exp(-z))).alias("score"))
 
 
+def clean(docs: DataFrame, labelled: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that score at threshold or above. Texts are scored where they are, not moved."""
+    model, _ = fit(docs, labelled, id_col=id_col, text_col=text_col)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        one = model.scorer()
+        for b in batches:
+            yield b.filter(pa.array([one(t) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(id_col: str, n: int):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n))
 
@@ -225,9 +263,3 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = score(docs, labels.filter(fold("doc_id", 5) != 0).select("doc_id", "toxic"))
     return found.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
-
-def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows that score at threshold or above. Rows with a null id are kept."""
-    found = stored(score(docs, labels), "toxic-scores")
-    bad = found.filter(F.col("score") >= threshold).select(id_col).distinct()
-    return docs.join(bad, id_col, "left_anti")
