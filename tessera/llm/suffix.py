@@ -103,20 +103,21 @@ def stretches(body: np.ndarray, ends: np.ndarray) -> Iterator[Runs]:
         yield Runs(body, ends, first, min(first + CHUNK, len(body) - LENGTH + 1))
 
 
-def least_first(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of entries with equal keys only those of the smallest document go on: which, and for all whether an
-    earlier document has the key."""
+def least_first(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries with equal keys one of the smallest document leads: which lead, each one's leader, and whether
+    its document comes after the leader's. Rows without an id neither lead others nor follow."""
     order = np.lexsort((doc, key))
     k, d = key[order], doc[order]
     head = np.ones(len(k), bool)
     head[1:] = k[1:] != k[:-1]
     at = np.flatnonzero(head)
-    least = np.repeat(d[at], np.diff(np.append(at, len(k))))
-    later = np.zeros(len(k), bool)
-    later[order] = d > least
+    size = np.diff(np.append(at, len(k)))
+    leader = np.empty(len(k), np.int64)
+    leader[order] = np.repeat(order[at], size)
     lead = np.zeros(len(k), bool)
     lead[order[at]] = True
-    return lead, later
+    somebody = doc != NOBODY
+    return lead & somebody, leader, (doc > doc[leader]) & somebody
 
 
 class Pack:
@@ -128,9 +129,8 @@ class Pack:
         self.runs = list(stretches(self.body, self.ends))
         join = lambda name, kind: np.concatenate([getattr(r, name) for r in self.runs]) if self.runs else np.zeros(0, kind)
         self.gram, self.run, self.text = join("gram", np.uint64), join("run", np.uint64), join("text", np.int64)
-        doc = self.docs[self.text]
-        lead, self.later = least_first(self.run, doc)
-        self.sent = np.flatnonzero(lead & (doc != NOBODY))
+        lead, self.leader, self.later = least_first(self.run, self.docs[self.text])
+        self.sent = np.flatnonzero(lead)
 
     def blobs(self, key: np.ndarray, doc: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
         """(bucket, columns and documents) of entries, by key."""
@@ -162,13 +162,14 @@ class Pack:
         """Takes in the first exchange: which runs are repeats, and which windows are open."""
         status = np.zeros(len(self.run), np.uint8)
         status[self.sent] = self.answers(self.gram[self.sent], found)
-        self.repeat = self.later | (status == 2)
+        status = np.where(self.later, 2, np.where(self.docs[self.text] == NOBODY, 0, status[self.leader]))
+        self.repeat = status == 2
         sizes = np.cumsum([0, *(len(r.lo) for r in self.runs)])
         parts = [r.windows(np.flatnonzero(status[a:b] == 1)) for r, a, b in zip(self.runs, sizes, sizes[1:])]
         self.window = np.concatenate([w + r.first for (w, *_), r in zip(parts, self.runs)]) if parts else np.zeros(0, np.int64)
         text, self.x, self.y = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in ((1, np.int64), (2, np.uint64), (3, np.uint64)))
         self.window_doc = self.docs[text]
-        lead, self.window_later = least_first(pair(self.x, self.y, 5), self.window_doc)
+        lead, self.window_leader, self.window_later = least_first(pair(self.x, self.y, 5), self.window_doc)
         self.window_sent = np.flatnonzero(lead)
 
     def open_windows(self) -> Iterator[tuple[int, bytes]]:
@@ -179,6 +180,7 @@ class Pack:
         """Whether each byte goes."""
         hit = self.window_later.copy()
         hit[self.window_sent] |= self.answers(self.x[self.window_sent], found) == 2
+        hit |= hit[self.window_leader]
         depth = np.zeros(len(self.body) + 1, np.int32)
         np.add.at(depth, self.window[hit], 1)
         np.add.at(depth, self.window[hit] + LENGTH, -1)
