@@ -12,7 +12,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _LOCAL: dict[str, str] = {}
 
 
-def prepare(spark: SparkSession, batch_rows: int = 2000) -> None:
+def prepare(spark: SparkSession, batch_rows: int = 1000) -> None:
     """Bounds Arrow batches and lets Python workers import this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
