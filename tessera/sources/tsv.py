@@ -15,23 +15,17 @@ NULLS = ("", "NA", "null")
 CSV = {"sep": "\t", "header": "true", "encoding": "UTF-8", "quote": '"', "escape": '"', "multiLine": "true"}
 
 
-def _nulls(df: DataFrame) -> DataFrame:
+def as_nulls(df: DataFrame) -> DataFrame:
     return df.select(*[F.when(F.col(c).isin(*NULLS), None).otherwise(F.col(c)).alias(c) for c in df.columns])
 
 
 def read_source(spark: SparkSession, path: str, usecols: list[str] | None = None, nrows: int | None = None) -> DataFrame:
     """The records of a file, all columns strings; usecols picks columns and nrows the first rows."""
-    df = _nulls(spark.read.options(**CSV).schema(SCHEMA).csv(path))
+    df = as_nulls(spark.read.options(**CSV).schema(SCHEMA).csv(path))
     df = df.select(*usecols) if usecols else df
     return df if nrows is None else df.limit(nrows)
 
 
-def stream_source(spark: SparkSession, folder: str, files_per_trigger: int = 1, usecols: list[str] | None = None) -> DataFrame:
-    """The same as a stream over the files that appear in a folder."""
-    df = _nulls(spark.readStream.options(**CSV).option("maxFilesPerTrigger", files_per_trigger).schema(SCHEMA).csv(folder))
-    return df.select(*usecols) if usecols else df
-
-
 def with_position(df: DataFrame, first: int = 0) -> DataFrame:
     """Adds doc_ord: an order that follows files and the rows in them."""
     return df.withColumn("doc_ord", F.monotonically_increasing_id() + first)

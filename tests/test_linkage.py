@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import blocking, entities, metrics, select, trainset
 from tessera.plans import linkage
 from tessera.sources import tsv
+from tessera.streaming import records
 
 
 def test_sweep_equals_recomputation(spark):
@@ -117,7 +118,7 @@ def test_sources(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     (folder / "a.tsv").write_text((tmp_path / "source1.tsv").read_text())
-    q = tsv.stream_source(spark, f"file://{folder}").writeStream.format("memory").queryName("seen").trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/c").start()
+    q = records.stream_source(spark, f"file://{folder}").writeStream.format("memory").queryName("seen").trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/c").start()
     q.awaitTermination(60)
     assert spark.table("seen").count() == 6
 
@@ -139,6 +140,15 @@ def test_files_to_files(spark, tmp_path):
     assert counts["total"] == 60 and counts["matched"] + counts["singletons"] == 60
     lines = [line for p in sorted((tmp_path / "out/candidates").glob("part-*")) for line in p.read_text().split("\n")[:-1]]
     assert lines[0] == "source1_entity_id\tcandidate_entity_ids" and [x.split("\t")[0] for x in lines[1:]] == [f"S1-{i}" for i in range(60)]
+    folder = tmp_path / "arriving"
+    folder.mkdir()
+    (folder / "a.tsv").write_text((tmp_path / "source1.tsv").read_text())
+    _, targets = linkage.load(spark, base)
+    fitted, (tau, _) = linkage.model.load(spark, f"{base}/model/model"), tsv.read_metadata(spark, f"{base}/model/metadata")
+    q = records.link_stream(records.stream_source(spark, f"file://{folder}"), targets, fitted, f"{base}/linked", f"{base}/ck", tau, 12)
+    assert q.awaitTermination(120) is not False and q.exception() is None
+    streamed = spark.read.parquet(f"{base}/linked").select("s1_id").distinct().count()
+    assert streamed == linkage.run_prediction(spark, base, f"{base}/out2", f"{base}/model", threshold=tau, top_k=12)["matched"]
     with pytest.raises(FileNotFoundError):
         linkage.model.load(spark, f"{base}/nowhere")
 
