@@ -5,7 +5,7 @@ least (segments - distance) of the segments that the 64 bits are dealt into, so
 segments is a join key: no pair is lost. Inside a key, the Hamming distances of every fingerprint to many
 reference fingerprints (the pivot table) are compared: by the triangle inequality a pair whose coordinates
 differ by more than `distance` anywhere can't be linked, and the others are verified bit by bit. Only a
-spanning forest of the links leaves a task. Keys with very many fingerprints are dealt into blocks, and
+spanning forest of the links leaves a task, a star for each component. Keys with very many fingerprints are dealt into blocks, and
 every pair of blocks into a task of its own, so no task gathers an unbounded group.
 
 Defined results: a null text or one without words has fingerprint zero and is linked like any other; texts
@@ -78,25 +78,41 @@ def pivots(n: int = 24) -> np.ndarray:
     return np.random.default_rng(20_24).integers(0, 1 << 64, n, np.uint64)
 
 
-def linked_in_blocks(block: np.ndarray, fp: np.ndarray, node: np.ndarray, more: np.ndarray, distance: int, limit: int) -> tuple[list[int], list[int]]:
-    """A spanning forest of the links within each block, as nodes; rows are sorted by block.
+class Forest:
+    """Nodes joined by links, as one tree for each component; the smallest node is the root."""
 
-    more: further fingerprints of each row, whose differing bits together may be `limit` at most."""
-    refs = pivots()
-    coords = np.bitwise_count(fp[:, None] ^ refs[None, :]).astype(np.int8)
-    parent: dict[int, int] = {}
+    def __init__(self):
+        self.parent: dict[int, int] = {}
 
-    def root(x: int) -> int:
+    def root(self, x: int) -> int:
+        parent = self.parent
         while parent.setdefault(x, x) != x:
             parent[x] = x = parent[parent[x]]
         return x
 
-    left, right, at, step = [], [], np.arange(len(fp)), 1
+    def join(self, x: int, y: int) -> None:
+        rx, ry = self.root(x), self.root(y)
+        if rx != ry:
+            self.parent[max(rx, ry)] = min(rx, ry)
+
+    def stars(self) -> tuple[list[int], list[int]]:
+        """(root, node) of every node that isn't a root."""
+        found = [(self.root(x), x) for x in list(self.parent)]
+        return [r for r, x in found if r != x], [x for r, x in found if r != x]
+
+
+def link_blocks(forest: Forest, block: np.ndarray, fp: np.ndarray, node: np.ndarray, more: np.ndarray, distance: int, limit: int) -> None:
+    """Joins the nodes linked within each block; rows are sorted by block.
+
+    more: further fingerprints of each row, whose differing bits together may be `limit` at most."""
+    refs = pivots()
+    coords = np.bitwise_count(fp[:, None] ^ refs[None, :]).astype(np.int8)
+    at, step = np.arange(len(fp)), 1
     while True:
         at = at[at < len(fp) - step]
         at = at[block[at] == block[at + step]]
         if not len(at):
-            return left, right
+            return
         near = at
         for p in range(0, coords.shape[1], 6):  # a few pivots at a time: most pairs are gone after the first
             near = near[np.abs(coords[near, p : p + 6] - coords[near + step, p : p + 6]).max(axis=1) <= distance]
@@ -104,9 +120,7 @@ def linked_in_blocks(block: np.ndarray, fp: np.ndarray, node: np.ndarray, more:
         if more.shape[1]:
             near = near[np.bitwise_count(more[near] ^ more[near + step]).sum(axis=1, dtype=np.int64) <= limit]
         for x, y in zip(node[near].tolist(), node[near + step].tolist()):
-            if (rx := root(x)) != (ry := root(y)):
-                parent[ry] = rx
-                left.append(x), right.append(y)
+            forest.join(x, y)
         step += 1
 
 
@@ -122,31 +136,34 @@ def links(fps: DataFrame, distance: int = 4, node: str = "fp", more: tuple[str,
             key = F.shiftleft(key, bits).bitwiseOR(F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << bits) - 1).cast("long")))
         keys.append(key)
     rest = [F.col(node).alias("node"), *more] if node != "fp" else []
-    keyed = fps.select("fp", *rest, F.posexplode(F.array(*keys)).alias("choice", "key"))
-    sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).filter(f"n > {DENSE}")
+    keyed = fps.select("fp", *rest, F.explode(F.array(*[F.xxhash64(k) for k in keys])).alias("key"))
+    # stored first, so that its size is known: few keys are dense, and then the rows needn't be dealt out for the join
+    sizes = stored(keyed.select("key").groupBy("key").agg(F.count("*").alias("n")).filter(f"n > {DENSE}"), "dense-keys")
     half = DENSE // 2
-    dealt = keyed.join(sizes, ["choice", "key"], "left").withColumn("blocks", F.when(F.col("n").isNull(), F.lit(1).cast("long")).otherwise(F.ceil(F.col("n") / half)))
+    dealt = keyed.join(sizes, "key", "left").withColumn("blocks", F.when(F.col("n").isNull(), F.lit(1).cast("long")).otherwise(F.ceil(F.col("n") / half)))
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    block = F.xxhash64("choice", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("block")
+    block = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("block")
     dealt = dealt.select(block, "fp", *(["node", *more] if rest else []))
 
     def run(batches):
-        held = None
+        held, forest = None, Forest()
         for b in batches:
             cols = [c.to_numpy() for c in b.columns]
             cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
             whole = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last block may go on
             held = [c[whole:] for c in cols]
-            yield links_of([c[:whole] for c in cols])
+            compare(forest, [c[:whole] for c in cols])
         if held is not None:
-            yield links_of(held)
+            compare(forest, held)
+        # one star a component: tasks mostly find the same ones, so few links are left once repeats are gone
+        a, b = forest.stars()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    def links_of(cols):
+    def compare(forest, cols):
         fp = cols[1].view(np.uint64)
         extra = np.stack([c.view(np.uint64) for c in cols[3:]], axis=1) if len(cols) > 3 else np.zeros((len(fp), 0), np.uint64)
-        a, b = linked_in_blocks(cols[0], fp, cols[2] if len(cols) > 2 else cols[1], extra, distance, limit)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        link_blocks(forest, cols[0], fp, cols[2] if len(cols) > 2 else cols[1], extra, distance, limit)
 
     return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long").distinct()
 
@@ -211,9 +228,9 @@ def similar_groups(df: DataFrame, similarity: float = 0.8, words: int = 5, id_co
     classes = stored(docs.groupBy(*names).agg(F.min("id").alias("first")), "set-classes")
     found = None
     for n in names[: len(WORD_SEEDS)]:
-        one = links(classes.select(F.col(n).alias("fp"), "first", *shingle_names), WORD_BITS, "first", shingle_names, limit)
+        one = stored(links(classes.select(F.col(n).alias("fp"), "first", *shingle_names), WORD_BITS, "first", shingle_names, limit), "set-links")
         found = one if found is None else found.unionByName(one)
-    parts = connected_components(stored(found, "set-links"))
+    parts = connected_components(found)
     named = classes.join(parts.withColumnRenamed("node", "first"), "first", "left").select(*names, F.coalesce("component", "first").alias("component"))
     return docs.join(named, names).select(F.col("id").alias(id_col), "component")
 
@@ -221,7 +238,7 @@ def similar_groups(df: DataFrame, similarity: float = 0.8, words: int = 5, id_co
 def dedup(df: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with the smallest id of each group only. Rows with a null id are kept; of rows that share an id one stays."""
     found = stored(similar_groups(df, similarity, words, id_col, text_col), "similar")
-    gone = found.filter(F.col("component") < F.col(id_col)).select(F.col(id_col).cast(df.schema[id_col].dataType)).distinct()
+    gone = stored(found.filter(F.col("component") < F.col(id_col)).select(F.col(id_col).cast(df.schema[id_col].dataType)).distinct(), "near-copies")
     kept = df.join(gone, id_col, "left_anti").select(*df.columns)
     repeated = not found.groupBy(id_col).count().filter("count > 1").isEmpty()
     if repeated:
