@@ -148,19 +148,24 @@ def label_model(patterns: np.ndarray, weight: np.ndarray, gold: np.ndarray, prio
     return post, rates, share
 
 
-def fit_linear(rows: list[list[int]], target: np.ndarray, weight: np.ndarray, n: int, rounds: int = 400) -> np.ndarray:
-    """Weights (bias last) of a logistic regression over sets of features, by full gradient steps with momentum."""
-    x = np.zeros((len(rows), n + 1), np.float32)
+def fit_linear(rows: list[list[int]], target: np.ndarray, weight: np.ndarray, n: int, rounds: int = 25, ridge: float = 0.5) -> np.ndarray:
+    """Weights (bias last) of a ridge logistic regression over sets of features, by Newton steps."""
+    x = np.zeros((len(rows), n + 1))
     x[:, n] = 1
     for i, fs in enumerate(rows):
         x[i, fs] = 1
-    w, v, total = np.zeros(n + 1), np.zeros(n + 1), weight.sum()
+    penalty = np.full(n + 1, ridge)
+    penalty[n] = 1e-6
+    w = np.zeros(n + 1)
     w[n] = np.log((target @ weight + 1) / ((1 - target) @ weight + 1))
-    scale = 1 / np.sqrt((x * weight[:, None]).sum(axis=0) / total + 1e-3)  # rare features learn as fast as common ones
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        v = 0.9 * v - 0.1 * scale * scale * (x.T @ ((p - target) * weight) / total + 1e-5 * np.append(w[:n], 0))
-        w = w + np.clip(v, -0.5, 0.5)
+        grad = x.T @ ((p - target) * weight) + penalty * w
+        curve = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
+        step = np.linalg.solve(curve + np.diag(penalty), grad)
+        w -= np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-4:
+            break
     return w
 
 
@@ -207,13 +212,9 @@ def fit(docs: DataFrame, labelled: DataFrame, max_labelled: int = 20_000, max_fi
 
     rows = stored(docs.mapInArrow(run, f"id {id_type}, votes string, found array<int>"), "toxic-votes")
     # votes of all rows: as many groups as there are vote patterns, whatever the input
-    known = rows.join(gold, "id").groupBy("votes", "toxic").agg(F.count("*").alias("n"))
-    every = rows.groupBy("votes").agg(F.count("*").alias("n"))
-    counted = {(r.votes, -1): r.n for r in every.collect()}
-    for r in known.collect():
-        counted[r.votes, r.toxic] = r.n
-        counted[r.votes, -1] -= r.n
-    counted = {k: n for k, n in counted.items() if n > 0}
+    known = rows.join(gold, "id", "left").withColumn("gold", F.coalesce("toxic", F.lit(-1)))
+    distinct = stored(known.groupBy("votes", "found", "gold").agg(F.count("*").alias("n")), "toxic-patterns")
+    counted = {(r.votes, r.gold): r.n for r in distinct.groupBy("votes", "gold").agg(F.sum("n").alias("n")).collect()}
     if not counted:
         return Model(lists, np.append(np.zeros(len(features)), -5.0)), rows
     keys = sorted(counted)
@@ -221,14 +222,9 @@ def fit(docs: DataFrame, labelled: DataFrame, max_labelled: int = 20_000, max_fi
     prior = toxic_share[0] / sum(toxic_share) if sum(toxic_share) else 0.05
     patterns = np.array([[int(c) for c in k[0]] for k in keys], np.int8)
     post, _, _ = label_model(patterns, np.array([counted[k] for k in keys], float), np.array([k[1] for k in keys]), max(prior, 0.005))
-    plain: dict[str, list[float]] = {}  # posteriors of the vote patterns, which the classifier learns
-    for k, p in zip(keys, post):
-        got = plain.setdefault(k[0], [0.0, 0.0])
-        got[0] += p * counted[k]
-        got[1] += counted[k]
-    distinct = rows.groupBy("votes", "found").agg(F.count("*").alias("n"))
+    posterior = dict(zip(keys, post))
     fitted = part_of(distinct, distinct.count(), max_fitted, "found").collect()
-    target = np.array([plain[r.votes][0] / plain[r.votes][1] for r in fitted])
+    target = np.array([posterior[r.votes, r.gold] for r in fitted])
     w = fit_linear([r.found for r in fitted], target, np.array([r.n for r in fitted], float), len(features)) if fitted else np.append(np.zeros(len(features)), -5.0)
     return Model(lists, w), rows.select("id", "found")
 
