@@ -69,7 +69,7 @@ def encode_all(texts: list[str | None], path: str) -> list[bytes]:
     plain = [None if t is None or PLAIN.search(t) else WORDS.findall(t.lower()) for t in texts]
     if len(cache) > WORD_CACHE:
         cache.clear()
-    new = list({w for ws in plain if ws for w in ws if w not in cache})
+    new = list(set().union(*(ws for ws in plain if ws)).difference(cache))
     cache.update(zip(new, word_ids(new, word_tok, ends)))
     get = cache.__getitem__
     out = []
