@@ -186,17 +186,23 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-#: For near copies by similarity: two fingerprints of the set of words find candidates, three of the set of
-#: five-word shingles say how alike they are. Texts of Jaccard similarity s differ in a share of about
-#: acos(2s / (1 + s)) / pi of the shingle bits.
-WORD_SEEDS, SHINGLE_SEEDS, WORD_BITS = (42, 7), (42, 7, 9), 6
+#: For near copies by similarity: fingerprints of the set of words, of which one must be near, find candidates;
+#: those of the set of five-word shingles say how alike two texts are. Texts of Jaccard similarity s differ in a
+#: share of about acos(2s / (1 + s)) / pi of the shingle bits.
+WORD_PRINTS, SHINGLE_PRINTS, WORD_BITS = 2, 6, 6
 
 
-def set_fingerprint(features: set[bytes], seed: int) -> int:
-    if not features:
+def set_fingerprint(h: np.ndarray, nth: int) -> int:
+    """The nth SimHash of a set of hashed features: the hashes are mixed anew for each."""
+    if not len(h):
         return 0
-    h = np.array([xxhash.xxh64_intdigest(x, seed) for x in features], ">u8")
-    count = sum(np.unpackbits(h[i : i + CHUNK].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) for i in range(0, len(h), CHUNK))
+    count = np.zeros(64, np.int64)
+    for i in range(0, len(h), CHUNK):
+        x = h[i : i + CHUNK] + np.uint64(0x9E3779B97F4A7C15 * nth % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        count += np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * count > len(h)).tobytes(), "big")
 
 
@@ -204,7 +210,9 @@ def set_fingerprints(text: bytes, words: int) -> list[int]:
     """Fingerprints of the set of words and of the set of shingles of a text."""
     toks = text.lower().split()
     shingles = {b" ".join(toks[i : i + words]) for i in range(max(1, len(toks) - words + 1))} if toks else set()
-    return [*(set_fingerprint(set(toks), s) for s in WORD_SEEDS), *(set_fingerprint(shingles, s) for s in SHINGLE_SEEDS)]
+    digest = xxhash.xxh64_intdigest
+    one, many = (np.array([digest(x, 42) for x in xs], np.uint64) for xs in (set(toks), shingles))
+    return [*(set_fingerprint(one, i) for i in range(WORD_PRINTS)), *(set_fingerprint(many, i) for i in range(SHINGLE_PRINTS))]
 
 
 def similar_groups(df: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,11 +220,11 @@ def similar_groups(df: DataFrame, similarity: float = 0.8, words: int = 5, id_co
 
     Ids are whole numbers; rows with a null id take no part and rows of one id are one document."""
     prepare(df.sparkSession)
-    names = [*(f"w{s}" for s in WORD_SEEDS), *(f"s{s}" for s in SHINGLE_SEEDS)]
-    shingle_names = tuple(names[len(WORD_SEEDS) :])
+    names = [*(f"w{i}" for i in range(WORD_PRINTS)), *(f"s{i}" for i in range(SHINGLE_PRINTS))]
+    shingle_names = tuple(names[WORD_PRINTS:])
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = 64 * len(SHINGLE_SEEDS)
-    limit = round(bits * share + 1.3 * math.sqrt(bits * share * (1 - share)))  # nine in ten pairs right at the threshold
+    bits = 64 * SHINGLE_PRINTS
+    limit = round(bits * share + math.sqrt(bits * share * (1 - share)))  # five in six pairs right at the threshold
 
     def run(batches):
         for b in batches:
@@ -227,7 +235,7 @@ def similar_groups(df: DataFrame, similarity: float = 0.8, words: int = 5, id_co
     docs = stored(rows.mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in names)), "set-fingerprints")
     classes = stored(docs.groupBy(*names).agg(F.min("id").alias("first")), "set-classes")
     found = None
-    for n in names[: len(WORD_SEEDS)]:
+    for n in names[:WORD_PRINTS]:
         one = stored(links(classes.select(F.col(n).alias("fp"), "first", *shingle_names), WORD_BITS, "first", shingle_names, limit), "set-links")
         found = one if found is None else found.unionByName(one)
     parts = connected_components(found)
