@@ -29,8 +29,10 @@ from tessera.session import drop_stored, prepare, stored, table
 #: Words kept per worker, so that memory stays bounded whatever the vocabulary.
 WORD_CACHE = 400_000
 #: Texts with only these characters are split into words here; others go through the tokenizer whole.
-PLAIN = re.compile(r"[^\t\n\r\x20-\x7e¡-±´-¸º»¿-ɏ]|<\|")
-WORDS = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+PLAIN = re.compile(r"[^\t\n\r\x20-\x7e¡-±´-¸º»¿-ſ]")
+#: The pre-tokenizer's words in such a text in lower case.
+WORDS = re.compile(r"[a-zªµºß-öø-ſ]+|'(?:[stmd]|re|ve|ll)|\d|(?:[^\w\s]|_)+")
+SPECIAL = "<|"
 _TOKENIZERS: dict[str, tuple] = {}
 
 
@@ -66,7 +68,7 @@ def encode_all(texts: list[str | None], path: str) -> list[bytes]:
     """The ids of each text as little-endian 32-bit numbers. Words are encoded once and looked up after that,
     which is exact because no merge crosses a word of the pre-tokenizer."""
     tok, cache, word_tok, ends = tokenizer(path)
-    plain = [None if t is None or PLAIN.search(t) else WORDS.findall(t.lower()) for t in texts]
+    plain = [None if t is None or SPECIAL in t or PLAIN.search(t) else WORDS.findall(t.lower()) for t in texts]
     if len(cache) > WORD_CACHE:
         cache.clear()
     new = list(set().union(*(ws for ws in plain if ws)).difference(cache))
