@@ -16,13 +16,14 @@ its group (null if there is none).
 
 from __future__ import annotations
 
+import gc
 import math
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
@@ -186,69 +187,155 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-#: For near copies by similarity: fingerprints of the set of words, of which one must be near, find candidates;
-#: those of the set of five-word shingles say how alike two texts are. Texts of Jaccard similarity s differ in a
-#: share of about acos(2s / (1 + s)) / pi of the shingle bits.
-WORD_PRINTS, SHINGLE_PRINTS, WORD_BITS = 2, 6, 6
+#: For near copies by similarity: hashed shingles of which a sample of SAMPLE texts has several are called common, the
+#: HOT most frequent ones at most. That only orders shingles, rare ones first; any order finds the same pairs.
+SAMPLE, HOT = 10_000, 1 << 18
 
 
-def set_fingerprint(h: np.ndarray, nth: int) -> int:
-    """The nth SimHash of a set of hashed features: the hashes are mixed anew for each."""
-    if not len(h):
-        return 0
-    count = np.zeros(64, np.int64)
-    for i in range(0, len(h), CHUNK):
-        x = h[i : i + CHUNK] + np.uint64(0x9E3779B97F4A7C15 * nth % (1 << 64))
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-        count += np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * count > len(h)).tobytes(), "big")
-
-
-def set_fingerprints(text: bytes, words: int) -> list[int]:
-    """Fingerprints of the set of words and of the set of shingles of a text."""
-    toks = text.lower().split()
-    shingles = {b" ".join(toks[i : i + words]) for i in range(max(1, len(toks) - words + 1))} if toks else set()
-    digest = xxhash.xxh64_intdigest
-    one, many = (np.array([digest(x, 42) for x in xs], np.uint64) for xs in (set(toks), shingles))
-    return [*(set_fingerprint(one, i) for i in range(WORD_PRINTS)), *(set_fingerprint(many, i) for i in range(SHINGLE_PRINTS))]
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64, one to one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def similar_groups(df: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component): groups of texts whose shingle sets are estimated to be at least so similar.
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The set of a UTF-8 text's word shingles as sorted 64-bit hashes."""
+    toks, digest = text.lower().split(), xxhash.xxh64_intdigest
+    if not toks:
+        return np.zeros(0, np.uint64)
+    parts, size = [], min(words, len(toks))
+    for at in range(0, len(toks) - size + 1, CHUNK):
+        h = np.array([digest(t, 42) for t in toks[at : at + CHUNK + size - 1]], np.uint64)
+        x = np.full(len(h) - size + 1, size, np.uint64)
+        for i in range(size):
+            x = mixed(x ^ h[i : i + len(x)]) + np.uint64(0x9E3779B97F4A7C15)
+        parts.append(np.unique(x))
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+
+
+def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, counts) of the shingles that several texts of a sample have."""
+    n = rows.count()
+    sample = rows.filter(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(max(1, -(-n // SAMPLE)))) == 0)
 
-    Ids are whole numbers; rows with a null id take no part and rows of one id are one document."""
-    prepare(df.sparkSession)
-    names = [*(f"w{i}" for i in range(WORD_PRINTS)), *(f"s{i}" for i in range(SHINGLE_PRINTS))]
-    shingle_names = tuple(names[WORD_PRINTS:])
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = 64 * SHINGLE_PRINTS
-    limit = round(bits * share + math.sqrt(bits * share * (1 - share)))  # five in six pairs right at the threshold
+    def run(batches):
+        for b in batches:
+            for t in b.column(0).cast(pa.binary()).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t or b"", words).view(np.int64))], names=["h"])
+
+    counts = sample.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 2")
+    found = counts.orderBy(F.desc("n"), "h").limit(HOT).toPandas()
+    h, c = found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
+def prefixes(rows: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(id, key, node, n, prefix): a text's set as one hash, its size, and as many of its rarest shingles, in order,
+    that two sets which are so similar have one of them in common."""
+    sent = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, words))
 
     def run(batches):
+        hot, count = sent.value
         for b in batches:
-            fps = np.array([set_fingerprints(t or b"", words) for t in b.column(1).cast(pa.binary()).to_pylist()], np.uint64).reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(fps[:, i]).view(np.int64)) for i in range(len(names)))], names=["id", *names])
-
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
-    docs = stored(rows.mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in names)), "set-fingerprints")
-    classes = stored(docs.groupBy(*names).agg(F.min("id").alias("first")), "set-classes")
-    found = None
-    for n in names[:WORD_PRINTS]:
-        one = stored(links(classes.select(F.col(n).alias("fp"), "first", *shingle_names), WORD_BITS, "first", shingle_names, limit), "set-links")
-        found = one if found is None else found.unionByName(one)
+            node, size, prefix = [], [], []
+            for t in b.column(2).cast(pa.binary()).to_pylist():
+                h = shingle_set(t or b"", words)
+                node.append(xxhash.xxh64_intdigest(h.tobytes(), 42))
+                size.append(len(h))
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+                    h = h[np.argsort(np.where(hot[at] == h, count[at], 0), kind="stable")]
+                prefix.append(h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefix])))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), lists], names=["id", "key", "node", "n", "prefix"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "key", "text").mapInArrow(run, f"id {kind}, key long, node long, n int, prefix array<long>")
+
+
+def alike(pairs: DataFrame, docs: DataFrame, rows: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have that Jaccard similarity. Sets are made again for these texts only."""
+
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t or b"", words).view(np.int64) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    keys = docs.select("node", "key").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
+    texts = rows.select("key", "text").join(keys, "key").groupBy("node").agg(F.any_value("text").alias("text"))
+    sets = stored(texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>"), "shingle-sets")
+    one, two = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}s")) for x in "ab")
+    both = pairs.join(one, "a").join(two, "b").filter(F.least(F.size("as"), F.size("bs")) >= F.greatest(F.size("as"), F.size("bs")) * similarity - 1e-9)
+    common = F.size(F.array_intersect("as", "bs"))
+    found = stored(both.filter(common >= (F.size("as") + F.size("bs") - common) * similarity - 1e-9).select("a", "b"), "alike")
+    drop_stored(sets)
+    return found
+
+
+def shared_shingles(rows: DataFrame, similarity: float, words: int) -> tuple[DataFrame, DataFrame]:
+    """(id, key, node) of all rows, and (k, node, n, at, low, high): prefix shingles that several nodes have, with the least and greatest of these."""
+    found = stored(prefixes(rows, similarity, words), "prefixes")
+    docs = stored(found.select("id", "key", "node"), "set-nodes")
+    keys = found.select("node", F.col("n").cast("long").alias("n"), F.posexplode("prefix").alias("at", "k"))
+    packed = keys.select("k", "node", (F.shiftleft("n", 32) + F.col("at")).alias("place"))  # one shuffle of narrow rows
+    w = Window.partitionBy("k")
+    ends = packed.withColumn("low", F.min("node").over(w)).withColumn("high", F.max("node").over(w)).filter("low <> high").distinct()
+    shared = stored(ends.select("k", "node", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("at"), "low", "high"), "shared-shingles")
+    drop_stored(found)
+    return docs, shared
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that nothing refers to; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def similar_groups(rows: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(id, key, component) of rows (id, key, text): groups of texts linked by shingle sets of at least that similarity.
+
+    Sets that are so similar share a shingle of their prefixes, so no pair is lost. Each set is first held against two
+    of those it shares a shingle with, the same two for all that share it; then only pairs that aren't in one group yet
+    are compared, if their sizes and the shingles' places in them allow the similarity. Every link is an exact Jaccard."""
+    docs, shared = shared_shingles(rows, similarity, words)
+    released(rows.sparkSession)
+    ordered = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    first = shared.select(F.explode(F.array(ordered("node", "low"), ordered("node", "high"))).alias("p")).select("p.a", "p.b").filter("a <> b")
+    first = stored(first.distinct(), "first-pairs")
+    found = alike(first, docs, rows, similarity, words)
     parts = connected_components(found)
-    named = classes.join(parts.withColumnRenamed("node", "first"), "first", "left").select(*names, F.coalesce("component", "first").alias("component"))
-    return docs.join(named, names).select(F.col("id").alias(id_col), "component")
+    released(rows.sparkSession)
+
+    placed = shared.select("node", "n", "at", "k").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    open_keys = placed.groupBy("k").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("c")).filter("p <> q").select("k", F.ceil(F.col("c") / DENSE).alias("blocks"))
+    left = stored(placed.join(open_keys, "k"), "open-shingles")
+    x = left.select("k", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).alias("block"), *(F.col(c).alias(f"{c}1") for c in ("node", "n", "at", "part")))
+    y = left.select("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(f"{c}2") for c in ("node", "n", "at", "part")))
+    possible = F.expr(f"node1 < node2 and part1 <> part2 and least(n1 - at1, n2 - at2) >= (n1 + n2) * {similarity / (1 + similarity)!r}D - 1e-6D")
+    second = x.join(y, ["k", "block"]).filter(possible).select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
+    second = stored(second.join(first, ["a", "b"], "left_anti"), "second-pairs")
+    if not second.isEmpty():
+        parts = connected_components(found.unionByName(alike(second, docs, rows, similarity, words)))
+    drop_stored(shared, left)
+    return docs.join(parts, "node", "left").select("id", "key", F.coalesce("component", "node").alias("component"))
 
 
 def dedup(df: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with the smallest id of each group only. Rows with a null id are kept; of rows that share an id one stays."""
-    found = stored(similar_groups(df, similarity, words, id_col, text_col), "similar")
-    gone = stored(found.filter(F.col("component") < F.col(id_col)).select(F.col(id_col).cast(df.schema[id_col].dataType)).distinct(), "near-copies")
-    kept = df.join(gone, id_col, "left_anti").select(*df.columns)
-    repeated = not found.groupBy(id_col).count().filter("count > 1").isEmpty()
-    if repeated:
-        kept = kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.filter(F.col(id_col).isNull()))
-    return kept
+    """df with one row of each group: that of the smallest id (null ids last, then by a hash of the text).
+
+    Rows go by their text: an id that several texts share doesn't tie them, and rows with a null id are compared too."""
+    prepare(df.sparkSession)
+    key = F.xxhash64(F.col(text_col).cast("string"))
+    rows = df.select(F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).cast("string").alias("text"))
+    found = stored(similar_groups(rows, similarity, words), "similar")
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("best"))
+    other = ~(F.col("id").eqNullSafe(F.col("best.id")) & (F.col("key") == F.col("best.key")))
+    gone = stored(found.join(best, "component").filter(other).select(F.col("id").alias("__id"), F.col("key").alias("__gone")).distinct(), "near-copies")
+    keyed = df.withColumn("__key", key)
+    kept = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__gone")), "left_anti")
+    if not found.groupBy("id", "key").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col, "__key"])
+    return kept.select(*df.columns)

@@ -173,6 +173,46 @@ def test_near_copies_by_similarity(spark):
     assert sorted(x for x in kept if x is not None) == [*range(12), 300] and kept.count(None) == 1
 
 
+def slow_kept(cases, similarity=0.8, words=5):
+    """Ids of the smallest id of each group by brute force; ids are unique."""
+    sets = {}
+    for i, t in cases:
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            common = len(sets[i] & sets[j])
+            if i < j and common >= similarity * (len(sets[i]) + len(sets[j]) - common) - 1e-9:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return {i for i in sets if root(i) == i}
+
+
+def test_near_copies_against_brute_force(spark, monkeypatch):
+    """Appended, truncated and short copies on both sides of the limit, and more texts with common shingles than a block takes."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijkl") for _ in range(5)) for _ in range(2000)]
+    say = lambda n: [rng.choice(words) for _ in range(n)]
+    texts = [say(1), say(4), say(5)]
+    for n, more in ((10, 1), (20, 1), (20, 5), (60, 10), (150, 15), (150, 30), (150, 40), (400, 90)):
+        for _ in range(4):
+            b = say(n)
+            texts += [b, b + say(more), b[: n - more]]
+    shared = say(60)
+    texts += [shared + say(rng.randint(4, 20)) for _ in range(60)]
+    cases = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    monkeypatch.setattr(simhash, "DENSE", 16)
+    got = sorted(r.doc_id for r in simhash.dedup(docs(spark, cases)).collect())
+    assert got == sorted(slow_kept(cases))
+
+
 # --- 4
 
 
