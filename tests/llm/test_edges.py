@@ -213,6 +213,18 @@ def test_near_copies_against_brute_force(spark, monkeypatch):
     assert got == sorted(slow_kept(cases))
 
 
+def test_near_copies_below_the_limit_stay(spark):
+    """Texts of Jaccard similarity just below 0.8 stay, those right at it go."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijkl") for _ in range(5)) for _ in range(2000)]
+    cases = []
+    for i in range(40):  # 80 shingles, then 80 of 100 and 80 of 101
+        b = [rng.choice(words) for _ in range(84)]
+        cases += [(i, " ".join(b)), (100 + i, " ".join(b + [rng.choice(words) for _ in range(20 + i % 2)]))]
+    got = {r.doc_id for r in simhash.dedup(docs(spark, cases)).collect()}
+    assert got == {*range(40), *range(101, 140, 2)}
+
+
 # --- 4
 
 
