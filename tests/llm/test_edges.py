@@ -225,6 +225,15 @@ def test_near_copies_below_the_limit_stay(spark):
     assert got == {*range(40), *range(101, 140, 2)}
 
 
+def test_near_copies_go_by_text(spark):
+    """Ids that several texts share don't tie them, and copies without an id go."""
+    rng = random.Random(12)
+    one, two, three, four = (" ".join("".join(rng.choice("abcdefghijkl") for _ in range(5)) for _ in range(60)) for _ in range(4))
+    cases = [(1, one), (2, two), (2, three), (3, one + " end"), (3, four), (None, three + " end"), (None, four), (None, "alone"), (None, "alone"), (2, two)]
+    got = simhash.dedup(docs(spark, cases)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, one), (2, two), (2, three), (3, four), (None, "alone")], key=str)
+
+
 # --- 4
 
 
