@@ -8,11 +8,13 @@ pass projects passages and takes each item's cosine, against the passage's whole
 a sum over the passage's words bounds the cosine with any of them; passages that can't reach the threshold
 with any group aren't projected. Candidates are verified by the
 longest common subsequence of words, taken whole or, for paraphrases, with a check that the item's rarest
-words - its answer - are there. Documents are never shuffled; what tasks send is one matrix, and those are
+words - its answer - are there. Items of up to SHORT words are too small a part of a passage to rely on its cosine,
+so whatever holds enough of their words in order within twice their length is found, by their rarest words; items of fewer than
+`least` words by their exact sequence. Documents are never shuffled; what tasks send is one matrix, and those are
 summed in two steps. The benchmark is taken in parts of `part` items, each a pass of its own, so what is sent
 to executors is bounded.
 
-Defined results: null and empty texts and items match nothing, nor do items of fewer than `least` words;
+Defined results: null and empty texts and items match nothing;
 items that repeat each match on their own; repeated rows match alike; rows with a null id give matches with
 a null id; empty tables give no rows; other columns are ignored (clean keeps them). Case and ASCII
 punctuation don't count.
@@ -20,6 +22,7 @@ punctuation don't count.
 
 from __future__ import annotations
 
+import math
 import string
 from collections.abc import Iterator
 
@@ -39,6 +42,8 @@ COSINE = 0.35
 SLOTS = 64
 #: Groups of items that share a bound.
 GROUPS = 16
+#: Items of up to so many words are searched for by their rarest words as well.
+SHORT = 32
 PUNCTUATION = bytes(32 if chr(i) in string.punctuation else i for i in range(256))
 
 
@@ -60,15 +65,14 @@ def lcs(a: list[int], b: list[int]) -> int:
 
 
 class Items:
-    """Segments of benchmark items over the vocabulary of their words."""
+    """Segments of benchmark items over the vocabulary of their words; exact: those to be found word for word only."""
 
     def __init__(self, rows: list[tuple], least: int):
-        self.ids, self.words, vocab = [], [], {}
+        self.ids, self.words, self.exact, vocab = [], [], [], {}
         for item, text in rows:
             ws = [vocab.setdefault(w, len(vocab)) for w in words_of(text)]
-            if len(ws) < least:
-                continue
             n = -(-len(ws) // SEGMENT)
+            self.exact += [len(ws) < least] * n
             for i in range(n):
                 self.ids.append(item)
                 self.words.append(ws[len(ws) * i // n : len(ws) * (i + 1) // n])
@@ -141,7 +145,71 @@ def corpus_pass(docs: DataFrame, sent, omega_seed: int) -> tuple[int, np.ndarray
     return n, df, y
 
 
-def latent_space(items: Items, n: int, df: np.ndarray, y: np.ndarray) -> dict:
+def anchors(items: Items, idf: np.ndarray, paraphrase: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Items by word (first of each word, items) and how many such words a passage must hold.
+
+    An item's anchors are its rarest words, so many that a passage with the least common words that count holds
+    two of them (one, if the item is a single word)."""
+    pairs, least = [], np.zeros(len(items.words), np.int64)
+    for i, ws in enumerate(items.words):
+        if len(ws) > SHORT:
+            continue
+        need = len(ws) if items.exact[i] else max(1, math.ceil(paraphrase * len(ws) - 1e-9))
+        least[i] = min(2, need)
+        order = sorted(ws, key=lambda w: (-idf[w], w))
+        pairs += [(w, i) for w in set(order[: len(ws) - need + int(least[i])])]
+    pairs.sort()
+    word, item = (np.array([p[j] for p in pairs], np.int64) for j in (0, 1))
+    return np.searchsorted(word, np.arange(len(idf) + 1)), item, least
+
+
+def short_found(items: Items, space: dict, ids: np.ndarray, first: np.ndarray, lengths: np.ndarray, overlap: float, paraphrase: float) -> Iterator[tuple[int, int, int, int, int, bool]]:
+    """(text, item, first word, last, common words, answer found) of short items, each within twice its length."""
+    begin, held, least = space["anchors"]
+    at = np.flatnonzero(ids >= 0)
+    count = begin[ids[at] + 1] - begin[ids[at]]
+    at, count = at[count > 0], count[count > 0]
+    if not len(at):
+        return
+    item = held[np.repeat(begin[ids[at]] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+    at = np.repeat(at, count)
+    order = np.argsort(item.astype(np.int32), kind="stable")
+    item, at = item[order], at[order]
+    span = 2 * np.array([len(ws) for ws in items.words], np.int64)
+    text = np.searchsorted(first, at, side="right") - 1
+    near = np.zeros(len(at), bool)
+    near[:-1] = (item[1:] == item[:-1]) & (text[1:] == text[:-1]) & (at[1:] - at[:-1] < span[item[:-1]])
+    done = set()
+    for k in np.flatnonzero(near | (least[item] == 1)).tolist():
+        i, doc, here = int(item[k]), int(text[k]), int(at[k])
+        if (doc, i) in done:
+            continue
+        own = items.words[i]
+        n, ends = len(own), int(first[doc] + lengths[doc])
+        wide = 2 * n - 1
+        lo, hi = max(int(first[doc]), here - wide), min(ends, here + wide + 1)
+        around = ids[lo:hi].tolist()
+        if items.exact[i]:
+            for j in range(len(around) - n + 1):
+                if around[j : j + n] == own:
+                    done.add((doc, i))
+                    yield doc, i, lo + j, lo + j + n, n, True
+                    break
+            continue
+        have = set(around)
+        if sum(w in have for w in own) < paraphrase * n or lcs(own, around) < paraphrase * n:
+            continue
+        for j in range(max(1, len(around) - 2 * n + 1)):
+            part = around[j : j + 2 * n]
+            common = lcs(own, part)
+            answer = len(space["rare"][i] & set(part)) >= 0.8 * len(space["rare"][i])
+            if common >= overlap * n or (answer and common >= paraphrase * n):
+                done.add((doc, i))
+                yield doc, i, lo + j, lo + j + len(part), common, answer
+                break
+
+
+def latent_space(items: Items, n: int, df: np.ndarray, y: np.ndarray, paraphrase: float) -> dict:
     """Term weights, the latent basis and the items' directions in it."""
     idf = np.maximum(np.log((1 + n) / (1 + df)), 0) + 0.05
     tf = np.zeros((len(items.words), len(idf)))
@@ -168,6 +236,7 @@ def latent_space(items: Items, n: int, df: np.ndarray, y: np.ndarray) -> dict:
         "small": small,
         "bounds": bounds,
         "rare": rare,
+        "anchors": anchors(items, idf, paraphrase),
     }
 
 
@@ -230,6 +299,8 @@ def found_in(items: Items, space: dict, texts: list[str | None], overlap: float,
     starts, text = blocks(first, lengths)
     best: dict[tuple[int, object], tuple] = {}
     for at, size, item, cos in candidates(space, ids, starts, text, len(ids)) if len(starts) else ():
+        if items.exact[item]:
+            continue
         doc, own = int(text[at]), items.words[item]
         lo = max(int(first[doc]), int(starts[at]) - BLOCK)
         hi = min(int(first[doc] + lengths[doc]), int(starts[at]) + (size + 1) * BLOCK)
@@ -243,10 +314,17 @@ def found_in(items: Items, space: dict, texts: list[str | None], overlap: float,
             key = (doc, items.ids[item])
             got = (common / len(own), cos, common, len(own), answer)
             best[key] = max(best.get(key, got), got)
+    for doc, item, lo, hi, common, answer in short_found(items, space, ids, first, lengths, overlap, paraphrase):
+        w, own = ids[lo:hi], len(items.words[item])
+        known = w[w >= 0]
+        length = np.sqrt((space["idf"][known] ** 2).sum() + (len(w) - len(known)) * space["other"] ** 2)
+        key = (doc, items.ids[item])
+        got = (common / own, float(space["terms"][known].sum(axis=0) @ space["latent"][item] / length), common, own, answer)
+        best[key] = max(best.get(key, got), got)
     return best
 
 
-def parts_of(docs: DataFrame, benchmark: DataFrame, least: int, part: int, text_col: str, item_col: str) -> Iterator[tuple]:
+def parts_of(docs: DataFrame, benchmark: DataFrame, least: int, part: int, text_col: str, item_col: str, paraphrase: float) -> Iterator[tuple]:
     """Broadcast items and latent space of each part of the benchmark, fitted over all of docs."""
     spark = docs.sparkSession
     prepare(spark)
@@ -258,7 +336,7 @@ def parts_of(docs: DataFrame, benchmark: DataFrame, least: int, part: int, text_
         items = Items(sorted((r.item, r.body) for r in held.collect()), least)  # about `part` rows
         if items.words:
             sent = spark.sparkContext.broadcast(items)
-            yield sent, spark.sparkContext.broadcast(latent_space(items, *corpus_pass(rows, sent, 11)))
+            yield sent, spark.sparkContext.broadcast(latent_space(items, *corpus_pass(rows, sent, 11), paraphrase))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, paraphrase: float = 0.6, least: int = 8, part: int = 400, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -282,7 +360,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, paraphr
         return run
 
     out = None
-    for sent, space in parts_of(docs, benchmark, least, part, text_col, item_col):
+    for sent, space in parts_of(docs, benchmark, least, part, text_col, item_col, min(overlap, paraphrase)):
         found = docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(search(sent, space), schema)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out
@@ -301,7 +379,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, paraphras
 
         return run
 
-    for sent, space in parts_of(docs, benchmark, least, part, text_col, item_col):
+    for sent, space in parts_of(docs, benchmark, least, part, text_col, item_col, min(overlap, paraphrase)):
         out = out.mapInArrow(keep(sent, space), docs.schema)
     return out
 

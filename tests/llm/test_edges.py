@@ -360,6 +360,30 @@ def test_decontamination(spark):
     assert decontam.matches(df, bench.limit(0)).count() == 0 and decontam.matches(df.limit(0), bench).count() == 0 and decontam.clean(df.limit(0), bench).count() == 0
 
 
+def test_short_items_are_found(spark):
+    """Exact, cut and gapped copies of short items in long texts, and items under eight words by their sequence."""
+    rng = random.Random(14)
+    words = ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 6))) for _ in range(3000)]
+    say = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [(i, say(2 + i % 12)) for i in range(48)]
+    cases = [(1000 + i, " ".join(say(200))) for i in range(20)]
+    want = set()
+    for i, ws in items:
+        cases.append((i, " ".join([*say(70), *ws, *say(70)])))
+        want.add((i, i))
+        if len(ws) >= 8:  # four in five words, others between
+            kept = [w for k, w in enumerate(ws) if k % 5 != 2]
+            gapped = [x for k, w in enumerate(kept) for x in ([w, *say(1)] if k % 3 == 0 else [w])]
+            cases += [(100 + i, " ".join([*say(70), *kept, *say(70)])), (200 + i, " ".join([*say(70), *gapped, *say(70)]))]
+            want |= {(k + i, i) for k in (100, 200) if len(kept) >= 0.8 * len(ws)}
+        else:  # another order
+            cases.append((300 + i, " ".join([*say(70), *reversed(ws), *say(70)])))
+    bench = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.matches(docs(spark, cases), bench).collect()}
+    assert want <= got
+    assert not {d for d, _ in got} & {*range(1000, 1020), *range(300, 348)}
+
+
 def test_lcs_of_words():
     rng = random.Random(10)
     for _ in range(200):
