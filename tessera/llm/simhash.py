@@ -17,13 +17,14 @@ its group (null if there is none).
 from __future__ import annotations
 
 import gc
+import itertools
 import math
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
@@ -190,6 +191,8 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: For near copies by similarity: hashed shingles of which a sample of SAMPLE texts has several are called common, the
 #: HOT most frequent ones at most. That only orders shingles, rare ones first; any order finds the same pairs.
 SAMPLE, HOT = 10_000, 1 << 18
+#: Counts of a profile, keys that may be broadcast, and rounds against two sets a shingle.
+PROFILE, FEW, ROUNDS = 256, 1 << 20, 3
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -231,61 +234,113 @@ def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
     return h[order], c[order]
 
 
+def profile(shingles: np.ndarray) -> bytes:
+    """How many shingles end in each of PROFILE ways, 255 at most. Two sets differ in at least as many elements as their profiles do in sum."""
+    return np.minimum(np.bincount((shingles % np.uint64(PROFILE)).astype(np.int64), minlength=PROFILE), 255).astype(np.uint8).tobytes()
+
+
+def near_profiles(x: np.ndarray, y: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of n elements together can be so similar: then they differ in n * (1 - s) / (1 + s) at most."""
+    return np.abs(x.astype(np.int16) - y).sum(axis=1, dtype=np.int64) <= n * (1 - similarity) / (1 + similarity) + 1e-6
+
+
+def profiles_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, PROFILE)
+
+
 def prefixes(rows: DataFrame, similarity: float, words: int) -> DataFrame:
-    """(id, key, node, n, prefix): a text's set as one hash, its size, and as many of its rarest shingles, in order,
-    that two sets which are so similar have one of them in common."""
+    """(id, key, node, n, profile, prefix): a text's set as one hash, its size, its profile, and as many of its rarest
+    shingles, in order, that two sets which are so similar have one of them in common. Copies within a task may have no prefix."""
     sent = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, words))
 
     def run(batches):
         hot, count = sent.value
+        seen: set[int] = set()
         for b in batches:
-            node, size, prefix = [], [], []
+            node, size, shape, prefix = [], [], [], []
+            if len(seen) > CHUNK:
+                seen.clear()
             for t in b.column(2).cast(pa.binary()).to_pylist():
                 h = shingle_set(t or b"", words)
                 node.append(xxhash.xxh64_intdigest(h.tobytes(), 42))
                 size.append(len(h))
+                shape.append(profile(h))
+                if node[-1] in seen:  # a copy of a text of this task: one of them stands for all
+                    prefix.append(np.zeros(0, np.int64))
+                    continue
+                seen.add(node[-1])
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
                     h = h[np.argsort(np.where(hot[at] == h, count[at], 0), kind="stable")]
                 prefix.append(h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefix])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), lists], names=["id", "key", "node", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(shape, pa.binary()), lists], names=["id", "key", "node", "n", "profile", "prefix"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "key", "text").mapInArrow(run, f"id {kind}, key long, node long, n int, prefix array<long>")
+    return rows.select("id", "key", "text").mapInArrow(run, f"id {kind}, key long, node long, n int, profile binary, prefix array<long>")
 
 
-def alike(pairs: DataFrame, docs: DataFrame, rows: DataFrame, similarity: float, words: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have that Jaccard similarity. Sets are made again for these texts only."""
+def possible(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sizes and profiles allow the similarity; no pair that has it is lost."""
 
     def run(batches):
         for b in batches:
-            sets = [shingle_set(t or b"", words).view(np.int64) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
-
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    keys = docs.select("node", "key").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
-    texts = rows.select("key", "text").join(keys, "key").groupBy("node").agg(F.any_value("text").alias("text"))
-    sets = stored(texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>"), "shingle-sets")
-    one, two = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}s")) for x in "ab")
-    both = pairs.join(one, "a").join(two, "b").filter(F.least(F.size("as"), F.size("bs")) >= F.greatest(F.size("as"), F.size("bs")) * similarity - 1e-9)
-    common = F.size(F.array_intersect("as", "bs"))
-    found = stored(both.filter(common >= (F.size("as") + F.size("bs") - common) * similarity - 1e-9).select("a", "b"), "alike")
-    drop_stored(sets)
+            near = near_profiles(profiles_of(b.column(3)), profiles_of(b.column(5)), b.column(2).to_numpy() + b.column(4).to_numpy(), similarity)
+            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    one, two = (sets.select(F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("profile").alias(f"{x}p")) for x in "ab")
+    both = pairs.join(one, "a").join(two, "b").filter(F.least("an", "bn") >= F.greatest("an", "bn") * similarity - 1e-9)
+    return both.select("a", "b", "an", "ap", "bn", "bp").mapInArrow(run, "a long, b long")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, rows: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have that Jaccard similarity.
+
+    Each a meets its partners in groups of bounded size: its text comes first, then theirs, and only one set is held."""
+    pairs = stored(possible(pairs, sets, similarity), "possible-pairs")
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / DENSE).alias("blocks"))
+    dealt = pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b", F.lit(5)), F.col("blocks")))
+    asked = dealt.select(F.col("a").alias("node"), "a", "block", F.lit(0).alias("turn")).distinct().union(dealt.select("b", "a", "block", F.lit(1)))
+    keys = stored(sets.join(asked.select("node").distinct(), "node", "left_semi").select("node", "key"), "wanted-sets")
+    few = keys.count() <= FEW  # so many keys of 16 bytes may be sent to every task; more are joined by a shuffle of the texts
+    needed = rows.join(F.broadcast(keys.select("key")), "key", "left_semi") if few else rows
+    texts = needed.groupBy("key").agg(F.any_value("text").alias("text")).join(keys, "key").select("node", "text")
+
+    def run(batches):
+        at, held = None, None
+        for b in batches:
+            a, other = [], []
+            for node, hub, block, turn, text in zip(*(b.column(i).to_pylist() for i in range(4)), b.column(4).cast(pa.binary()).to_pylist()):
+                h = shingle_set(text or b"", words)
+                if turn == 0:
+                    at, held = (hub, block), h
+                    continue
+                assert at == (hub, block)
+                common = len(np.intersect1d(held, h, assume_unique=True))
+                if common >= (len(held) + len(h) - common) * similarity - 1e-9:
+                    a.append(hub), other.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(other, pa.int64())], names=["a", "b"])
+
+    meet = asked.join(texts, "node").select("node", "a", "block", "turn", "text").repartition("a", "block").sortWithinPartitions("a", "block", "turn")
+    found = stored(meet.mapInArrow(run, "a long, b long"), "alike")
+    drop_stored(pairs)
     return found
 
 
-def shared_shingles(rows: DataFrame, similarity: float, words: int) -> tuple[DataFrame, DataFrame]:
-    """(id, key, node) of all rows, and (k, node, n, at, low, high): prefix shingles that several nodes have, with the least and greatest of these."""
+def shared_shingles(rows: DataFrame, similarity: float, words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, key, node) of all rows; (node, key, n, profile) of each node; and (k, node, n, at, low, high): prefix shingles
+    that several nodes have, with the first and last of these."""
     found = stored(prefixes(rows, similarity, words), "prefixes")
     docs = stored(found.select("id", "key", "node"), "set-nodes")
+    # size and profile are the node's, whichever row they come from
+    sets = stored(found.groupBy("node").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.any_value("profile").alias("profile")), "sets")
     keys = found.select("node", F.col("n").cast("long").alias("n"), F.posexplode("prefix").alias("at", "k"))
-    packed = keys.select("k", "node", (F.shiftleft("n", 32) + F.col("at")).alias("place"))  # one shuffle of narrow rows
-    w = Window.partitionBy("k")
-    ends = packed.withColumn("low", F.min("node").over(w)).withColumn("high", F.max("node").over(w)).filter("low <> high").distinct()
-    shared = stored(ends.select("k", "node", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("at"), "low", "high"), "shared-shingles")
+    packed = keys.select("k", "node", (F.shiftleft("n", 32) + F.col("at")).alias("place"))
+    ends = packed.groupBy("k").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
+    both = packed.join(ends, "k").select("k", "node", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("at"), "low", "high")
+    shared = stored(both.distinct(), "shared-shingles")  # copies of one text in several tasks are one node
     drop_stored(found)
-    return docs, shared
+    return docs, sets, shared
 
 
 def released(spark: SparkSession) -> None:
@@ -294,32 +349,106 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def open_shingles(shared: DataFrame, parts: DataFrame, turn: int) -> DataFrame:
+    """The rows of shared whose shingle is in several groups so far, with each one's group (part), the shingle's largest
+    group (main), a set of it (hub), a set of another group (out, in group out_part), and how many sets are in main or not."""
+    placed = shared.select("node", "n", "at", "k").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    by_part = placed.groupBy("k", "part").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")).alias("one"))
+    ends = [f(F.struct("one", "part")).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    keys = by_part.groupBy("k").agg(F.max(F.struct("c", "part", "one")).alias("most"), F.sum("c").alias("c"), *ends).filter("c > most.c")
+    out = F.when(F.col("lo.part") == F.col("most.part"), F.col("hi")).otherwise(F.col("lo"))
+    keys = keys.select("k", F.col("most.part").alias("main"), F.col("most.one.node").alias("hub"), out.alias("o"), F.col("most.c").alias("inside"), (F.col("c") - F.col("most.c")).alias("outside"))
+    keys = keys.select("k", "main", "hub", F.col("o.one.node").alias("out"), F.col("o.part").alias("out_part"), "inside", "outside")
+    return stored(placed.join(keys, "k"), "open-shingles")
+
+
+def ordered(x: str, y: str) -> Column:
+    return F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+
+def across(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that share a shingle of left, are in different groups, and whose sizes, places of the shingle
+    and profiles allow the similarity. Sets outside a shingle's largest group are dealt into blocks, those inside into
+    others, so that no task gathers a large group; pairs are looked at where they meet, and only possible ones leave."""
+    zero = F.lit(0).cast("long")
+    rows = left.join(sets.select("node", "profile"), "node").select(
+        "k", "node", "n", "at", "part", "profile", (F.col("part") == F.col("main")).alias("inner"),
+        F.ceil(F.col("outside") / DENSE).alias("blocks"), F.ceil(F.col("inside") / (8 * DENSE)).alias("subs"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("inner"), F.col("subs")).otherwise(F.col("blocks"))))
+    place = lambda block, sub, turn: F.struct(block.alias("block"), sub.alias("sub"), F.lit(turn).alias("turn"))
+    upto = lambda n: F.sequence(zero, F.col(n) - 1)
+    own = F.col("own")
+    inside = F.transform(upto("blocks"), lambda b: place(b, own, 1))
+    outside = F.transform(upto("subs"), lambda x: place(own, x, 0))
+    earlier = F.transform(F.filter(upto("blocks"), lambda b: b < own), lambda b: place(b, zero, 1))  # each pair of blocks once
+    rows = rows.withColumn("to", F.explode(F.when(F.col("inner"), inside).otherwise(F.concat(outside, earlier))))
+    dealt = rows.select(F.xxhash64("k", "to.block", "to.sub").alias("group"), F.col("to.turn").alias("turn"), (F.col("to.sub") == 0).alias("first"), "node", "n", "at", "part", "profile")
+
+    def run(batches):
+        held, seen = None, set()
+        for b in itertools.chain(batches, [None]):
+            t = held if b is None else pa.Table.from_batches([b] if held is None else [*held.to_batches(), b])
+            if t is None or not t.num_rows:
+                continue
+            g = t.column("group").to_numpy()
+            whole = len(g) if b is None else int(np.searchsorted(g, g[-1]))  # the last group may go on
+            held = t.slice(whole)
+            x, y = compare(t.slice(0, whole))
+            new = [p for p in zip(x, y) if p not in seen]
+            seen = seen if len(seen) < CHUNK else set()
+            seen.update(new)
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in new], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    def compare(t):
+        g, turn, first, node, n, at, part = (t.column(i).to_numpy() for i in range(7))
+        shape = profiles_of(t.column("profile"))
+        a, b, i, step = [], [], np.flatnonzero(turn == 0), 1
+        while True:
+            i = i[i < len(g) - step]
+            i = i[g[i] == g[i + step]]
+            if not len(i):
+                return a, b
+            j = i + step
+            total = n[i] + n[j]
+            ok = (part[i] != part[j]) & (node[i] != node[j]) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= total * similarity / (1 + similarity) - 1e-6)
+            ok &= first[i] | (turn[j] == 1)  # sets of one block meet once
+            at_i, at_j, total = i[ok], j[ok], total[ok]
+            near = near_profiles(shape[at_i], shape[at_j], total, similarity)
+            x, y = node[at_i[near]], node[at_j[near]]
+            a += np.minimum(x, y).tolist()
+            b += np.maximum(x, y).tolist()
+            step += 1
+
+    return dealt.repartition("group").sortWithinPartitions("group", "turn").mapInArrow(run, "a long, b long").distinct()
+
+
 def similar_groups(rows: DataFrame, similarity: float, words: int) -> DataFrame:
     """(id, key, component) of rows (id, key, text): groups of texts linked by shingle sets of at least that similarity.
 
-    Sets that are so similar share a shingle of their prefixes, so no pair is lost. Each set is first held against two
-    of those it shares a shingle with, the same two for all that share it; then only pairs that aren't in one group yet
-    are compared, if their sizes and the shingles' places in them allow the similarity. Every link is an exact Jaccard."""
-    docs, shared = shared_shingles(rows, similarity, words)
+    Sets that are so similar share a shingle of their prefixes, so no pair is lost. In each of a few rounds every set
+    is held against two of those it shares a shingle with, the same two for all that share it, so that most groups
+    are found by few pairs; then whatever isn't in one group yet is compared in full. Every link is an exact Jaccard."""
+    docs, sets, shared = shared_shingles(rows, similarity, words)
     released(rows.sparkSession)
-    ordered = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    first = shared.select(F.explode(F.array(ordered("node", "low"), ordered("node", "high"))).alias("p")).select("p.a", "p.b").filter("a <> b")
-    first = stored(first.distinct(), "first-pairs")
-    found = alike(first, docs, rows, similarity, words)
-    parts = connected_components(found)
+    found = tried = None
+    for turn in range(ROUNDS):
+        if turn == 0:
+            met = F.array(ordered("node", "low"), ordered("node", "high"))
+            pairs = shared.select(F.explode(met).alias("p")).select("p.a", "p.b").filter("a <> b")
+        else:
+            left = open_shingles(shared, parts, turn)
+            met = F.filter(F.array(F.struct(ordered("node", "hub").alias("p"), F.col("main").alias("other")), F.struct(ordered("node", "out").alias("p"), F.col("out_part").alias("other"))), lambda x: x.other != F.col("part"))
+            pairs = left.select("part", F.explode(met).alias("x")).select("x.p.a", "x.p.b").distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = stored(pairs.distinct(), "pairs")
+        links = alike(pairs, sets, rows, similarity, words)
+        tried, found = (pairs, links) if turn == 0 else (tried.unionByName(pairs), found.unionByName(links))
+        parts = connected_components(found)
+        released(rows.sparkSession)
+    second = stored(across(open_shingles(shared, parts, 0), sets, similarity).join(tried, ["a", "b"], "left_anti"), "pairs")
     released(rows.sparkSession)
-
-    placed = shared.select("node", "n", "at", "k").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    open_keys = placed.groupBy("k").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("c")).filter("p <> q").select("k", F.ceil(F.col("c") / DENSE).alias("blocks"))
-    left = stored(placed.join(open_keys, "k"), "open-shingles")
-    x = left.select("k", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).alias("block"), *(F.col(c).alias(f"{c}1") for c in ("node", "n", "at", "part")))
-    y = left.select("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(f"{c}2") for c in ("node", "n", "at", "part")))
-    possible = F.expr(f"node1 < node2 and part1 <> part2 and least(n1 - at1, n2 - at2) >= (n1 + n2) * {similarity / (1 + similarity)!r}D - 1e-6D")
-    second = x.join(y, ["k", "block"]).filter(possible).select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
-    second = stored(second.join(first, ["a", "b"], "left_anti"), "second-pairs")
     if not second.isEmpty():
-        parts = connected_components(found.unionByName(alike(second, docs, rows, similarity, words)))
-    drop_stored(shared, left)
+        parts = connected_components(found.unionByName(alike(second, sets, rows, similarity, words)))
+    drop_stored(shared, second, sets)
     return docs.join(parts, "node", "left").select("id", "key", F.coalesce("component", "node").alias("component"))
 
 
