@@ -1,17 +1,20 @@
 """Exact top-k inner products by aggregation without random access.
 
-Candidates and queries are dealt into blocks of bounded size and every pair of blocks meets in one task. A
-candidate block keeps one sorted list per dimension. For a query a list is read from its large end where the
-query's component is positive and from its small end where it is negative. At each depth a candidate's lower
-bound takes the list's last value for what hasn't been read, and its upper bound the value just read; all
-who can't reach the k-th lower bound (or the k-th score of the task's earlier blocks) go. Reading stops when
-few are left or the lists end, and the scores of those left are resolved. Bounds of a whole block of queries
-are two matrix products. Sums are exact: in doubles below 2^53, in Python integers beyond that.
+Candidates and queries are dealt into blocks of bounded size, and every pair of blocks meets in one task, dealt by both
+numbers, so no block's copies gather in one place. A candidate block keeps one sorted list per dimension. A query
+reads all lists in step, each from its large end where the query's component is positive and from its small
+end where it is negative, and adds what it reads to its rows' sums. At set depths a row's upper bound takes
+the value just read, and its lower bound the list's far end, for what the row hasn't been seen in; rows that can't reach
+the k-th lower bound, or the k-th score of the first candidate block, go. Reading stops when few rows can qualify, and
+their scores are resolved exactly. Bounds are doubles, widened by their rounding error; final scores are integers.
+
+For vectors without structure the lists have to be read almost to their ends; the README gives figures.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows with a null id, take
 no part; a missing component of a shorter vector counts as zero; components beyond the 64-bit range are
-held at its ends; candidates with the query's own id are left out; of queries with one id the smallest
-vector counts; repeated candidate rows each take a rank; empty tables give no rows.
+held at its ends, and so are scores, which are ranked by their true value; candidates with the query's own id are left out; of queries with one id the smallest
+vector counts; repeated candidate rows each take a rank; very long vectors are read whole; empty tables give no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.session import prepare, table
+from tessera.session import prepare, stored, table
 
-CANDIDATES, QUERIES = 1024, 128
+CANDIDATES, QUERIES = 2048, 1024
+#: Depths, in sixteenths of the lists, at which bounds are taken.
+DEPTHS = (1, 2, 4, 8, 10, 11, 12, 13, 14, 15)
 
 
 def matrix(lists: pa.ListArray, width: int | None = None) -> np.ndarray:
@@ -38,72 +43,110 @@ def matrix(lists: pa.ListArray, width: int | None = None) -> np.ndarray:
     return out
 
 
-def block_topk(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, k: int, floor: np.ndarray):
-    """For each query the (scores, ids) of the k best rows of x; floor: scores that k earlier rows reach."""
-    n, d = x.shape
-    if d == 0 or float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * d >= 2.0**53:
-        left = np.ones((n, len(q)), bool)
-        big = [[int(v) for v in r] for r in x.tolist()]
-        exact = lambda rows, j: np.array([max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(big[i], q[j].tolist())))) for i in rows], np.int64)
-    else:
-        fx, up, down = x.astype(float), np.maximum(q, 0).astype(float).T, np.minimum(q, 0).astype(float).T
-        ordered, least = np.sort(fx, axis=0), np.full(len(q), -np.inf)
-        own = ids[:, None] == qids[None, :]
-        left = ~own
-        for depth in (n // 16, n // 4, n // 2):
-            if depth < k:
-                continue
-            high, low = ordered[n - depth], ordered[depth - 1]  # the values just read at either end
-            upper = np.maximum(fx, high) @ up + np.minimum(fx, low) @ down
-            lower = np.where(fx >= high, fx, ordered[0]) @ up + np.where(fx <= low, fx, ordered[-1]) @ down
-            lower[own] = -np.inf
-            kth = np.partition(lower, n - k, axis=0)[n - k] if n >= k else least
-            least = np.maximum(least, np.maximum(kth, floor))
-            left &= upper >= least
-            if left.sum() <= 4 * k * len(q):
-                break
-        fq = q.astype(float)
-        exact = lambda rows, j: (fx[rows] @ fq[j]).astype(np.int64)
-    out = []
-    for j in range(len(q)):
-        rows = np.flatnonzero(left[:, j] & (ids != qids[j]))
-        scores = exact(rows, j)
-        best = np.lexsort((ids[rows], ~scores))[:k]
-        out.append((scores[best], ids[rows][best]))
-    return out
-
-
-def topk(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "vec") -> DataFrame:
-    """(query_id, rank, vec_id, score) over integer vectors (array<bigint>); both tables have the same columns."""
+def exact(x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The integer inner products of the rows of x with q: held at the ends of 64 bits, and what lies beyond these."""
+    if float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, x.shape[1]) < 2.0**53:
+        return (x.astype(float) @ q.astype(float)).astype(np.int64), np.zeros(len(x))
+    found = [sum(int(a) * int(b) for a, b in zip(r, q)) for r in x.tolist()]
+    held = [max(-(2**63), min(2**63 - 1, s)) for s in found]
+    return np.array(held, np.int64), np.array([float(s - h) for s, h in zip(found, held)])
+
+
+class Lists:
+    """The sorted lists of a block of candidates."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray):
+        self.x, self.ids, self.fx = x, ids, x.astype(float)
+        self.order = np.argsort(self.fx, axis=0, kind="stable").T.copy()  # dimensions, then places
+        self.value = np.take_along_axis(self.fx.T, self.order, axis=1)
+        self.rank = np.empty(x.shape, np.int32)
+        np.put_along_axis(self.rank, self.order.T, np.arange(len(x), dtype=np.int32)[:, None], axis=0)
+        self.largest = np.abs(self.fx).max(axis=0, initial=0)
+
+    def topk(self, q: np.ndarray, own: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+        """(scores, what they lack, ids) of the k best rows, and how many list entries were read and how many scores resolved; floor: a score that k other rows reach."""
+        n, used = len(self.x), np.flatnonzero(q)
+        left, read = np.flatnonzero(self.ids != own), 0
+        if len(used) and len(left) > k:
+            w = q[used].astype(float)
+            up, sums, at = w > 0, np.zeros(n), 0
+            slack = 2.0**-50 * len(used) * float(np.abs(w) @ self.largest[used])
+            order, value, rank = self.order[used], self.value[used], self.rank[:, used]
+            far = np.where(up, value[:, 0], value[:, -1]) * w
+            for depth in DEPTHS:
+                to = n * depth // 16
+                if to <= at:
+                    continue
+                near, end = slice(at, to), slice(n - to, n - at)
+                rows = np.concatenate([order[up, end].ravel(), order[~up, near].ravel()])
+                seen = np.concatenate([(value[up, end] * w[up, None]).ravel(), (value[~up, near] * w[~up, None]).ravel()])
+                sums += np.bincount(rows, weights=seen, minlength=n)
+                read, at = read + len(rows), to
+                last = np.where(up, value[:, n - to], value[:, to - 1]) * w
+                unseen = np.where(up, rank[left] < n - to, rank[left] >= to).astype(float)
+                upper, lower = sums[left] + unseen @ last + slack, sums[left] + unseen @ far - slack
+                kth = max(floor, float(np.partition(lower, len(left) - k)[len(left) - k])) if len(left) >= k else floor
+                left = left[upper >= kth]
+                if len(left) <= 4 * k:
+                    break
+        scores, beyond = exact(self.x[left], q)
+        best = np.lexsort((self.ids[left], -beyond, -1 - scores))[:k]
+        return scores[best], beyond[best], self.ids[left][best], read, len(left)
+
+
+def dealt(rows: DataFrame, block, name: str) -> DataFrame:
+    """Rows (id, v) by block, as arrays."""
+    return rows.withColumn(name, block).groupBy(name).agg(F.collect_list(F.struct("id", "v")).alias("rows")).select(name, F.col("rows.id").alias(f"{name}_ids"), F.col("rows.v").alias(f"{name}_vecs"))
+
+
+def topk(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "vec", counters: bool = False) -> DataFrame:
+    """(query_id, rank, vec_id, score) over integer vectors (array<bigint>); both tables have the same columns.
+
+    counters: instead (query_id, read, resolved) of each candidate block, list entries read and scores resolved."""
     df, queries = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), queries.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-    blocks = max(1, -(-df.count() // CANDIDATES))
+    cblocks = max(1, -(-df.count() // CANDIDATES))
     queries = queries.groupBy("id").agg(F.min("v").alias("v"))
     qblocks = max(1, -(-queries.count() // QUERIES))
-    numbered = df.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)))
-    cand = numbered.groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("rows")).select(F.col("rows.id").alias("ids"), F.col("rows.v").alias("vecs"))
-    ask = queries.withColumn("qblock", F.pmod(F.xxhash64("id"), F.lit(qblocks)).cast("int")).groupBy("qblock").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-    ask = ask.select("qblock", F.col("rows.id").alias("qids"), F.col("rows.v").alias("qvecs"))
-    pairs = cand.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1)))).join(ask, "qblock").select("ids", "vecs", "qids", "qvecs")
+    cand = stored(dealt(df, F.pmod(F.monotonically_increasing_id(), F.lit(cblocks)).cast("int"), "c"), "candidate-blocks")
+    ask = stored(dealt(queries, F.pmod(F.xxhash64("id"), F.lit(qblocks)).cast("int"), "q"), "query-blocks")
 
     def run(batches):
-        seen: dict[int, list[int]] = {}
         for b in batches:
-            q_out, v_out, s_out = [], [], []
+            out = [[], [], [], []]
             for i in range(b.num_rows):
-                ids, qids = (np.array(b.column(c)[i].as_py(), np.int64) for c in (0, 2))
+                ids, qids, floors = (np.array(b.column(c)[i].as_py(), float if c == 4 else np.int64) for c in (0, 2, 4))
                 x, q = (matrix(b.column(c)[i].values) for c in (1, 3))
                 width = max(x.shape[1], q.shape[1])
                 x, q = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, q))
-                floor = np.array([seen[j][-1] if len(seen.get(j, ())) == k else -np.inf for j in qids.tolist()])
-                for j, (s, v) in zip(qids.tolist(), block_topk(x, ids, q, qids, k, floor)):
-                    seen[j] = sorted([*seen.get(j, ()), *s.tolist()], reverse=True)[:k]
-                    q_out += [j] * len(s)
-                    v_out += v.tolist()
-                    s_out += s.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (q_out, v_out, s_out)], names=["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                lists = Lists(x, ids)
+                for j, (own, floor) in enumerate(zip(qids.tolist(), floors.tolist())):
+                    s, more, v, read, resolved = lists.topk(q[j], own, k, floor)
+                    if counters:
+                        s, more, v = np.array([read]), np.zeros(1), np.array([resolved])
+                    for column, part in zip(out, ([own] * len(s), v.tolist(), s.tolist(), more.tolist())):
+                        column += part
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.float64())], names=["query_id", "vec_id", "score", "beyond"])
+
+    def meet(cand, ask):
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        pairs = cand.withColumn("q", each(qblocks)).join(ask.withColumn("c", each(cblocks)), ["q", "c"])
+        return pairs.select("c_ids", "c_vecs", "q_ids", "q_vecs", "floors").mapInArrow(run, "query_id long, vec_id long, score long, beyond double")
+
+    # the first block's k-th scores are where all others start from
+    none = ask.withColumn("floors", F.transform("q_ids", lambda _: F.lit(float("-inf"))))
+    first = stored(meet(cand.filter("c = 0"), none), "first-block")
+    if cblocks > 1:
+        worst = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).filter(F.col("n") == k)
+        worst = worst.select(F.col("query_id").alias("id"), F.col("least").cast("double").alias("least"))
+        asked = ask.select("q", F.explode(F.arrays_zip("q_ids", "q_vecs")).alias("x")).select("q", F.col("x.q_ids").alias("id"), F.col("x.q_vecs").alias("v")).join(worst, "id", "left")
+        asked = asked.groupBy("q").agg(F.collect_list(F.struct("id", "v", F.coalesce("least", F.lit(float("-inf"))).alias("floor"))).alias("rows"))
+        asked = asked.select("q", F.col("rows.id").alias("q_ids"), F.col("rows.v").alias("q_vecs"), F.col("rows.floor").alias("floors"))
+        found = first.unionByName(meet(cand.filter("c > 0"), asked))
+    else:
+        found = first
+    if counters:
+        return found.select("query_id", F.col("score").alias("read"), F.col("vec_id").alias("resolved"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
