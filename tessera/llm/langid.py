@@ -6,18 +6,23 @@ sequences, some of which switch language half way. The forward-backward algorith
 its probabilities, so code-switched text is labelled word by word; a text's language is the one with most
 expected words.
 
-The field is fitted on at most `max_docs` rows of each language, chosen by a hash of the id, and on
-`max_chunks` stretches of words spread evenly over each of them. Every text is then labelled as a whole.
+The field is fitted on the whole texts of about `max_docs` rows of each language, chosen by a hash of the id. Every text
+is then labelled as a whole; label_words gives each word's language.
 
-Defined results: `und` and score 0 for a text that is null or has no letter, and for any text if there is
+Defined results: `und` and score 0 for a text that is null or has no letter (Unicode's letters; digits of any kind, Roman numerals and
+fractions are none), and for any text if there is
 nothing to learn from; repeated rows are labelled alike; rows with a null id are labelled but not learned
-from; an empty table gives no rows; other columns are ignored.
+from; very long texts and words are read whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import sys
+import unicodedata
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +34,32 @@ from tessera.session import prepare, stored, table
 
 BUCKETS = 1 << 16
 STRETCH = 12
-WORD = re.compile(r"[^\W\d_]+")
 #: Words whose scores a worker keeps; words read together.
 CACHE, TOGETHER = 400_000, 2_000_000
 
 
+WORD = re.compile(r"[^\W\d_]+")
+
+
+ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
+
+@cache
+def numerals(last: int) -> re.Pattern:
+    """What WORD takes up to a code point though it isn't of a letter class: numerals of other kinds."""
+    return re.compile("[" + "".join(c for c in map(chr, range(128, last + 1)) if c.isalnum() and not c.isdecimal() and unicodedata.category(c)[0] != "L") + "]")
+
+
+def plain(text: str) -> str:
+    """The text with blanks for what only looks like letters."""
+    if text.isascii():
+        return text
+    return numerals(sys.maxunicode if ASTRAL.search(text) else 0xFFFF).sub(" ", text)  # a class within 16 bits is one look-up
+
+
 def features(word: str) -> list[int]:
     """Hashed affixes, n-grams and the word itself."""
-    w = f"^{word[:40]}$"
+    w = f"^{word}$"
     n = len(w)
     out = [w, "p" + w[:3], "p" + w[:4], "s" + w[-3:], "s" + w[-4:], *(w[i : i + 2] for i in range(n - 1)), *(w[i : i + 3] for i in range(n - 2))]
     return [zlib.crc32(x.encode()) % BUCKETS for x in out]
@@ -52,13 +75,26 @@ def emissions(words: list[str], weights: np.ndarray) -> np.ndarray:
 
 
 def forward_backward(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Each word's label probabilities; e: exponentiated emissions of sequences one after another.
+    """Each word's label probabilities; e: exponentiated emissions of sequences one after another."""
+    alpha, beta = messages(e, lengths, trans)
+    alpha *= beta
+    return alpha / alpha.sum(axis=1, keepdims=True)
+
+
+def pair_marginals(alpha: np.ndarray, beta: np.ndarray, e: np.ndarray, trans: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The probabilities of the labels of words at and at + 1 together."""
+    p = alpha[at][:, :, None] * trans[None] * (e[at + 1] * beta[at + 1])[:, None, :]
+    return p / p.sum(axis=(1, 2), keepdims=True)
+
+
+def messages(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's forward and backward messages, at a sum of one.
 
     All sequences step together, the longest first in line, so that a step is one operation on those still going."""
     order = np.argsort(-lengths, kind="stable")
     size = lengths[order]
     start = (np.cumsum(lengths) - lengths)[order]
-    alpha = np.empty_like(e)
+    alpha, beta = np.empty_like(e), np.empty_like(e)
     a = None
     longest = int(size[0]) if len(size) else 0
     alive = np.searchsorted(-size, -np.arange(longest), side="left")  # sequences longer than t
@@ -78,8 +114,8 @@ def forward_backward(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> n
         else:
             b = (b[:k] * e[at + 1]) @ back
             b /= b.sum(axis=1, keepdims=True)
-        alpha[at] *= b
-    return alpha / alpha.sum(axis=1, keepdims=True)
+        beta[at] = b
+    return alpha, beta
 
 
 def fit(chunks: list[tuple[int, list[str]]], n_labels: int, epochs: int = 4, batch: int = 128) -> tuple[np.ndarray, np.ndarray]:
@@ -109,15 +145,15 @@ def fit(chunks: list[tuple[int, list[str]]], n_labels: int, epochs: int = 4, bat
             cut = np.cumsum(sizes[used]) - sizes[used]
             em = np.add.reduceat(weights[idx], cut, axis=0)[place]
             e = np.exp(em - em.max(axis=1, keepdims=True))
-            post = forward_backward(e, lengths, np.exp(trans))
+            alpha, beta = messages(e, lengths, np.exp(trans))
+            post = alpha * beta
+            post /= post.sum(axis=1, keepdims=True)
             err = post.copy()
             err[np.arange(len(ys)), ys] -= 1
-            # expected transitions, from the two words' marginals coupled through the transition scores
             inner = np.ones(len(ys), bool)
             inner[np.cumsum(lengths) - 1] = False
             l = np.flatnonzero(inner)  # noqa: E741
-            pair = post[l][:, :, None] * post[l + 1][:, None, :] * np.exp(trans)[None]
-            pair /= pair.sum(axis=(1, 2), keepdims=True) + 1e-12
+            pair = pair_marginals(alpha, beta, e, np.exp(trans), l)
             g = pair.sum(axis=0)
             np.add.at(g, (ys[l], ys[l + 1]), -1)
             gt += g * g
@@ -133,24 +169,23 @@ def fit(chunks: list[tuple[int, list[str]]], n_labels: int, epochs: int = 4, bat
     return weights.astype(np.float32), np.clip(trans, -4, 4).astype(np.float32)
 
 
-def train(docs: DataFrame, max_docs: int = 250, max_chunks: int = 12) -> tuple[list[str], np.ndarray, np.ndarray] | None:
+def train(docs: DataFrame, max_docs: int = 60) -> tuple[list[str], np.ndarray, np.ndarray] | None:
     """The labels and the fitted field, from rows (id, text, lang)."""
     docs = docs.filter("id is not null and text is not null and lang is not null")
     counts = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(int(1_000_000 * min(1, max_docs / n))))])
-    picked = docs.filter(F.pmod(F.xxhash64(F.lit("lang"), "id"), F.lit(1_000_000)) < share[F.col("lang")])
+    share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(math.ceil((1 << 62) * min(1, max_docs / n))))])
+    picked = docs.filter(F.pmod(F.xxhash64(F.lit("lang"), "id"), F.lit(1 << 62)) < share[F.col("lang")])
     langs = sorted(counts)
 
     def run(batches):
         for b in batches:
             y, ws = [], []
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = WORD.findall(text.lower())
-                n = max(1, len(words) // STRETCH)
-                for i in np.unique(np.linspace(0, n - 1, min(n, max_chunks)).astype(int)).tolist() if words else ():
-                    y.append(lang), ws.append(words[i * STRETCH : (i + 1) * STRETCH])
+                words = WORD.findall(plain(text.lower()))
+                for i in range(0, len(words), STRETCH):
+                    y.append(lang), ws.append(words[i : i + STRETCH])
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.string()), pa.array(ws, pa.list_(pa.string()))], names=["lang", "words"])
 
     rows = picked.select("lang", "text").mapInArrow(run, "lang string, words array<string>").collect()
@@ -211,7 +246,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) ->
         for b in batches:
             words: list[str] = []
             for t in b.column(1).to_pylist():
-                ws = WORD.findall(t.lower()) if t else []
+                ws = WORD.findall(plain(t.lower())) if t else []
                 lengths.append(len(ws))
                 words += ws
             ids.append(b.column(0))
@@ -226,6 +261,29 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) ->
     return docs.select("id", "text").mapInArrow(run, f"id {id_type}, lang_pred string, score double")
 
 
+def label_words(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> DataFrame:
+    """(id, words) of rows (id, text): each word's first and last place (end exclusive), language and probability."""
+    langs, sent = model[0], docs.sparkSession.sparkContext.broadcast(model[1:])
+    id_type = docs.schema["id"].dataType.simpleString()
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("lang", pa.string()), ("prob", pa.float64())]))
+
+    def run(batches):
+        lab = Labeller(*sent.value)
+        for b in batches:
+            out = []
+            for t in b.column(1).to_pylist():
+                found = list(WORD.finditer(plain(t))) if t else []
+                if not found:
+                    out.append([])
+                    continue
+                p = lab.probabilities(lab.number([m.group().lower() for m in found]), np.array([len(found)])).astype(np.float64)
+                out.append([{"start": m.start(), "stop": m.end(), "lang": langs[i], "prob": min(1.0, q)} for m, i, q in zip(found, p.argmax(axis=1).tolist(), p.max(axis=1).tolist())])
+                lab.forget()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], names=["id", "words"])
+
+    return docs.select("id", "text").mapInArrow(run, f"id {id_type}, words array<struct<start:long,stop:long,lang:string,prob:double>>")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
