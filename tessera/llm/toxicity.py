@@ -7,12 +7,13 @@ voters that agree more than their rates explain, given the class, form cliques w
 among them. Known labels take part as one more voter of the rows that may be learned from. A logistic
 regression over listed words, patterns and counts then learns the posterior labels, and scores every row.
 
-The word statistics and the regression are fitted on samples of at most `max_labelled` and `max_fitted` rows,
-chosen by a hash of the id; the label model uses all rows.
+The word statistics and the regression are fitted on samples of about `max_labelled` and `max_fitted` rows,
+chosen by a hash of the id; the label model uses all rows. Of labelled rows that begin alike or end alike (40 characters) one counts when
+words are mined: copies of a toxic text are one piece of evidence. All words that pass are kept.
 
 Defined results: null and empty texts get the score of a text without any listed word; no labelled rows at
 all leave the written lists and a class share of 0.05; repeated rows are scored alike; rows with a null id
-are scored; an empty table gives no rows; other columns are ignored.
+are scored; very long texts are read whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ def start(n: int):
     return lambda w: F.concat(F.substring(w, 1, n), F.lit("*"))
 
 
-def mine(labelled: DataFrame, least: int = 5, most: int = 400) -> list[str]:
+def mine(labelled: DataFrame, least: int = 5) -> list[str]:
     """Words, and word beginnings (with a star), that mark toxic rows: seen in at least `least`
     of them, rarely in clean ones, and with log odds well above their error.
 
@@ -74,7 +75,13 @@ def mine(labelled: DataFrame, least: int = 5, most: int = 400) -> list[str]:
     odds = F.log((F.col("t") + 0.5) / (nt - F.col("t") + 0.5)) - F.log((F.col("c") + 0.5) / (nc - F.col("c") + 0.5))
     error = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     kept = both.withColumn("z", odds / error).filter("z > 2")
-    return [r.unit for r in kept.orderBy(F.desc("z"), "unit").limit(most).collect()]
+    found, begun = [], set()  # as many as the sample of labelled rows has
+    for u in sorted((r.unit for r in kept.collect()), key=lambda u: (len(u.rstrip("*")), not u.endswith("*"), u)):
+        if not any(u[:n] in begun for n in STARTS if len(u.rstrip("*")) > n):  # a beginning stands for all that goes on from it
+            found.append(u)
+            if u.endswith("*"):
+                begun.add(u[:-1])
+    return found
 
 
 def lists_of(mined: list[str]) -> dict[str, list[str]]:
@@ -150,19 +157,26 @@ def label_model(patterns: np.ndarray, weight: np.ndarray, gold: np.ndarray, prio
 
 def fit_linear(rows: list[list[int]], target: np.ndarray, weight: np.ndarray, n: int, rounds: int = 25, ridge: float = 0.5) -> np.ndarray:
     """Weights (bias last) of a ridge logistic regression over sets of features, by Newton steps."""
-    x = np.zeros((len(rows), n + 1))
-    x[:, n] = 1
-    for i, fs in enumerate(rows):
-        x[i, fs] = 1
     penalty = np.full(n + 1, ridge)
     penalty[n] = 1e-6
     w = np.zeros(n + 1)
     w[n] = np.log((target @ weight + 1) / ((1 - target) @ weight + 1))
+
+    def parts():  # a dense matrix of some rows at a time
+        for at in range(0, len(rows), 1000):
+            x = np.zeros((len(rows[at : at + 1000]), n + 1))
+            x[:, n] = 1
+            for i, fs in enumerate(rows[at : at + 1000]):
+                x[i, fs] = 1
+            yield x, target[at : at + 1000], weight[at : at + 1000]
+
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ ((p - target) * weight) + penalty * w
-        curve = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
-        step = np.linalg.solve(curve + np.diag(penalty), grad)
+        grad, curve = penalty * w, np.diag(penalty)
+        for x, t, v in parts():
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            grad = grad + x.T @ ((p - t) * v)
+            curve = curve + (x * (v * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
+        step = np.linalg.solve(curve, grad)
         w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-4:
             break
@@ -171,7 +185,7 @@ def fit_linear(rows: list[list[int]], target: np.ndarray, weight: np.ndarray, n:
 
 def part_of(df: DataFrame, n: int, most: int, id_col: str = "id") -> DataFrame:
     """About `most` of n rows, the same ones each time."""
-    return df if n <= most else df.filter(F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1_000_000)) < int(1_000_000 * most / n))
+    return df if n <= most else df.filter(F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1 << 62)) < math.ceil((1 << 62) * most / n))
 
 
 class Model:
