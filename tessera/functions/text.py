@@ -36,7 +36,8 @@ SUFFIXES = {
 }
 ALL_SUFFIXES = "|".join([SUFFIXES["US"], "pvt|private", SUFFIXES["France"]])
 DOMAINS = r"\.(com|org|net|co|in|io|biz|us|fr|edu|gov)\b"
-POSTAL_6, POSTAL_5, NUMBER = r"\b\d{6}\b", r"\b\d{5}\b", r"\b\d+[a-zA-Z]?\b"
+# Digits are those of any script.
+POSTAL_6, POSTAL_5, NUMBER = r"(?U)\b\d{6}\b", r"(?U)\b\d{5}\b", r"(?U)\b\d+[a-zA-Z]?\b"
 
 #: Letters that don't decompose into a base letter and marks.
 LIGATURES = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "þ": "th", "Þ": "Th", "ð": "d", "Ð": "D"}
@@ -56,7 +57,7 @@ LATIN_FROM, LATIN_TO = _latin()
 
 
 def latin_to_ascii(c: Column) -> Column:
-    """Latin letters without accents; other scripts are left to transliterate()."""
+    """Latin letters without accents; all else stays."""
     out = F.translate(c, LATIN_FROM, LATIN_TO)
     for a, b in LIGATURES.items():
         out = F.replace(out, F.lit(a), F.lit(b))
@@ -79,12 +80,25 @@ def transliterate(texts: pd.Series) -> pd.Series:
         name = unicodedata.name(ch, "")
         for mark in (" LETTER ", " VOWEL SIGN "):
             if mark in name:
-                return name.partition(mark)[2].split()[-1].lower()
+                sound = name.partition(mark)[2].partition(" WITH ")[0].split()[-1].lower()
+                script = name.split()[0]
+                if script == "CYRILLIC" and len(sound) > 1:  # a consonant's name has a vowel before or after it
+                    return sound[1:] if sound[0] == "i" else sound.strip("aeiou") + ("" if sound.strip("aeiou") not in ("y", "") else sound[-1])
+                if script == "GREEK":
+                    return sound[: 2 if sound[1:2] in ("h", "s") else 1]
+                return sound
         return ""
 
     return texts.map(lambda t: None if t is None else "".join(map(one, unicodedata.normalize("NFKC", t))))
 
 
+def to_ascii(c: Column) -> Column:
+    """Latin letters without accents in the JVM; only text that has other scripts or loose marks goes through transliterate()."""
+    plain = latin_to_ascii(c)
+    other = plain.rlike(r"[^\x00-\x7F]")
+    return F.when(other, transliterate(F.when(other, c))).otherwise(plain)
+
+
 def words(c: Column) -> Column:
     """The space-separated words of a normal form; none for an empty one."""
     return F.filter(F.split(c, " "), lambda w: w != "")
@@ -97,7 +111,7 @@ def _mapped(c: Column, table: dict[str, str]) -> Column:
 
 def clean_text(c: Column, ascii_only: bool = True) -> Column:
     """Lower case, ASCII letters, no domains, handles or punctuation, abbreviations spelled out; null is empty."""
-    out = F.lower(latin_to_ascii(F.coalesce(c, F.lit("")))) if ascii_only else F.lower(F.coalesce(c, F.lit("")))
+    out = F.lower(to_ascii(F.coalesce(c, F.lit("")))) if ascii_only else F.lower(F.coalesce(c, F.lit("")))
     out = F.regexp_replace(out, DOMAINS, "")
     out = F.regexp_replace(out, "^[#@]+", "")
     out = F.replace(F.replace(out, F.lit("&"), F.lit(" and ")), F.lit("@"), F.lit(" at "))

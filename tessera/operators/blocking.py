@@ -75,7 +75,7 @@ def select_reserved(scored: DataFrame, top_k: int = 300) -> DataFrame:
     turn, then the best of the rest; ranked by combined score, ties by position."""
     if top_k <= 0:
         raise ValueError("top_k must be positive")
-    df = scored.withColumn("__in", F.lit(False))
+    df = scored.repartition("s1_id").withColumn("__in", F.lit(False))  # one exchange for all windows: they all divide an entity's rows
     for has, by, slots in (("core", "core", top_k // 3), ("number", "number", top_k // 6), ("postal", "postal", top_k // 6), ("address", "combined", top_k // 3)):
         w = Window.partitionBy("s1_id", "__in", F.col(has).isNotNull()).orderBy(F.desc(by), "doc_ord", "target_id")
         df = df.withColumn("__in", F.col("__in") | (F.col(has).isNotNull() & ~F.col("__in") & (F.row_number().over(w) <= slots)))

@@ -63,12 +63,13 @@ def run_training(spark: SparkSession, train_dir: str, model_dir: str, sample_siz
     else:
         tau, f05 = metrics.best_threshold(scored, known, spine, threshold_range)
         by_country = metrics.country_thresholds(scored, known, spine, tau, min_country)
+    pooled = f05
     picked = select.select_pairs(scored, tau, threshold_by_s1=tau_by_entity(val, by_country))
     report = metrics.micro_report(spine, picked, known).first()
     if by_country:
         f05 = metrics.macro_f05(spine, picked, known).first().macro_f05
     recall = diagnostics.candidate_recall(cands, known).first().recall
-    meta = {"best_tau": tau, "country_thresholds": by_country, "best_macro_f05": f05, "precision": report.precision, "recall": report.recall, "singleton_accuracy": report.singleton_accuracy, "candidate_recall": recall, "val_sample_size": val.count(), "total_sample_size": s1.count(), "cv_tuning_performed": tune, "winning_hyperparams": won, "cv_metrics": cv}
+    meta = {"best_tau": tau, "country_thresholds": by_country, "best_macro_f05": f05, "pooled_macro_f05": pooled, "precision": report.precision, "recall": report.recall, "singleton_accuracy": report.singleton_accuracy, "candidate_recall": recall, "val_sample_size": val.count(), "total_sample_size": s1.count(), "cv_tuning_performed": tune, "winning_hyperparams": won, "cv_metrics": cv}
     tsv.write_metadata(spark, f"{model_dir}/metadata", meta)
     return meta | {"frames": (val, targets, known, cands, picked)}
 
@@ -93,7 +94,7 @@ def run_validation(spark: SparkSession, train_dir: str, model_dir: str, ablation
     meta = run_training(spark, train_dir, model_dir, **options)
     val, targets, truth, cands, picked = meta.pop("frames")
     spine = val.select(F.col("entity_id").alias("s1_id"))
-    out = {k: meta[k] for k in ("best_tau", "precision", "recall", "singleton_accuracy", "candidate_recall")} | {"macro_f05": meta["best_macro_f05"]}
+    out = {k: meta[k] for k in ("best_tau", "precision", "recall", "singleton_accuracy", "candidate_recall", "pooled_macro_f05")} | {"macro_f05": meta["best_macro_f05"]}
     out["full_candidate_coverage"] = diagnostics.full_coverage(cands, truth).first().coverage
     out["candidate_oracle_macro_f05"] = metrics.macro_f05(spine, diagnostics.oracle_predictions(cands, truth), truth).first().macro_f05
     out |= {f"threshold_{c or 'unknown'}": t for c, t in meta["country_thresholds"].items()}

@@ -217,9 +217,15 @@ SET_FEATURES = f"""with {SIDES} select s1_id, target_id,
   round(case when len(m1) = 0 and len(m2) = 0 then 0.5::double when len(m1) = 0 or len(m2) = 0 then 0.0 else {O.JACCARD.format(a="m1", b="m2")} end, 9) as num_match from sd"""
 
 
-def _pair_sides(spark: SparkSession, d: str) -> DataFrame:
-    s1, targets = fixtures.sides(spark, d)
-    return features.pair_sides(blocking.candidates(s1, targets, TOP_K).select("s1_id", "target_id"), s1, targets)
+def _base(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both sides and the candidates, each made once."""
+    s1, targets = (stored(x, "er-side") for x in fixtures.sides(spark, d))
+    return s1, targets, stored(blocking.candidates(s1, targets, TOP_K), "er-candidates")
+
+
+def _pair_sides(spark: SparkSession, d: str, base=None) -> DataFrame:
+    s1, targets, cands = base or _base(spark, d)
+    return features.pair_sides(cands.select("s1_id", "target_id"), s1, targets)
 
 
 @query("er_features_set", SET_FEATURES)
@@ -246,8 +252,8 @@ SCORED = f"{SIDES},\nsp as (select s1_id, target_id, round({O.JACCARD.format(a='
 SPINE = "spine as (select entity_id as s1_id, country from s1)"
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return _pair_sides(spark, d).select("s1_id", "target_id", F.round(features.set_features()["name_jaccard"], 6).alias("match_prob"))
+def _scored(spark: SparkSession, d: str, base=None) -> DataFrame:
+    return _pair_sides(spark, d, base).select("s1_id", "target_id", F.round(features.set_features()["name_jaccard"], 6).alias("match_prob"))
 
 
 def _spine(spark: SparkSession, d: str) -> DataFrame:
@@ -303,13 +309,13 @@ select {group}round(tau, 6) as tau, count(*) as entities, round(avg({ENTITY}), 9
 
 @query("er_sweep", _sweep_sql(""))
 def er_sweep(spark: SparkSession, d: str) -> DataFrame:
-    out = metrics.sweep(_scored(spark, d), fixtures.truth(spark, d), _spine(spark, d), metrics.tau_table(spark, TAUS))
+    out = metrics.sweep(stored(_scored(spark, d), "er-scored"), stored(fixtures.truth(spark, d), "er-truth"), _spine(spark, d), metrics.tau_table(spark, TAUS))
     return out.select(F.round("tau", 6).alias("tau"), "entities", F.round("macro_f05", 9).alias("macro_f05"))
 
 
 @query("er_country_sweep", _sweep_sql("country"))
 def er_country_sweep(spark: SparkSession, d: str) -> DataFrame:
-    out = metrics.sweep(_scored(spark, d), fixtures.truth(spark, d), _spine(spark, d), metrics.tau_table(spark, TAUS), ("country",))
+    out = metrics.sweep(stored(_scored(spark, d), "er-scored"), stored(fixtures.truth(spark, d), "er-truth"), _spine(spark, d), metrics.tau_table(spark, TAUS), ("country",))
     return out.select(F.coalesce("country", F.lit("")).alias("country"), F.round("tau", 6).alias("tau"), "entities", F.round("macro_f05", 9).alias("macro_f05"))
 
 
@@ -341,7 +347,7 @@ select *, round(case when tp + fp_matched + fp_singleton > 0 then tp::double / (
 
 @query("er_micro_report", MICRO)
 def er_micro_report(spark: SparkSession, d: str) -> DataFrame:
-    out = metrics.micro_report(_spine(spark, d), select.select_pairs(_scored(spark, d), TAU), fixtures.truth(spark, d))
+    out = metrics.micro_report(_spine(spark, d), stored(select.select_pairs(_scored(spark, d), TAU), "er-picked"), stored(fixtures.truth(spark, d), "er-truth"))
     return out.select(*[F.round(c, 9).alias(c) if t == "double" else c for c, t in out.dtypes])
 
 
@@ -414,8 +420,9 @@ REPORT = f"""{COUNTS} select case when grouping(c) = 1 then '*' else c end as co
 
 @query("er_country_report", REPORT)
 def er_country_report(spark: SparkSession, d: str) -> DataFrame:
-    s1, targets = fixtures.sides(spark, d)
-    out = diagnostics.country_report(s1, blocking.candidates(s1, targets, TOP_K), select.select_pairs(_scored(spark, d), TAU), fixtures.truth(spark, d))
+    base = _base(spark, d)
+    picked = stored(select.select_pairs(_scored(spark, d, base), TAU), "er-picked")
+    out = diagnostics.country_report(base[0], base[2], picked, fixtures.truth(spark, d))
     return out.select(F.coalesce("country", F.lit("*")).alias("country"), *[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes if c != "country"])
 
 

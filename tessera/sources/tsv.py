@@ -12,7 +12,7 @@ COLUMNS = ("entity_id", "business_name", "business_address", "country")
 SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS])
 #: What counts as null in every column.
 NULLS = ("", "NA", "null")
-CSV = {"sep": "\t", "header": "true", "encoding": "UTF-8", "quote": '"', "escape": '"', "multiLine": "true"}
+CSV = {"sep": "\t", "header": "true", "encoding": "UTF-8", "quote": '"', "escape": '"'}
 
 
 def as_nulls(df: DataFrame) -> DataFrame:
@@ -20,9 +20,18 @@ def as_nulls(df: DataFrame) -> DataFrame:
 
 
 def read_source(spark: SparkSession, path: str, usecols: list[str] | None = None, nrows: int | None = None) -> DataFrame:
-    """The records of a file, all columns strings; usecols picks columns and nrows the first rows."""
-    df = as_nulls(spark.read.options(**CSV).schema(SCHEMA).csv(path))
-    df = df.select(*usecols) if usecols else df
+    """The records of a file, columns by the names in its header and all of them strings; usecols picks columns and nrows the first rows.
+
+    A file is read in splits unless a line holds an odd number of quotes: then a field may go on in the next line."""
+    odd = spark.read.text(path).filter(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1)
+    found = spark.read.options(**CSV, multiLine=str(not odd.isEmpty()).lower()).csv(path)
+    if not found.columns:  # not even a header
+        found = spark.createDataFrame([], SCHEMA)
+    missing = [c for c in usecols or COLUMNS if c not in found.columns]
+    if missing:
+        raise ValueError(f"{path} has no columns {missing}")
+    df = as_nulls(found.select(*[F.col(f"`{c}`") for c in found.columns if c in COLUMNS or c in (usecols or ())]))
+    df = df.select(*(usecols or COLUMNS))
     return df if nrows is None else df.limit(nrows)
 
 

@@ -160,3 +160,14 @@ def test_auc_and_log_loss(spark):
     want = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
     assert linkage.model.auc(df).first()[0] == pytest.approx(want)
     assert linkage.model.log_loss(df).first()[0] == pytest.approx(sum(-math.log(p if y else 1 - p) for y, p in rows) / 6)
+
+
+def test_columns_by_name_and_fields_over_lines(spark, tmp_path):
+    (tmp_path / "o.tsv").write_text("country\tentity_id\textra\tbusiness_address\tbusiness_name\nUS\tS1-1\tz\tNA\tAcme\n")
+    assert tuple(tsv.read_source(spark, f"file://{tmp_path}/o.tsv").first()) == ("S1-1", "Acme", None, "US")
+    (tmp_path / "q.tsv").write_text('entity_id\tbusiness_name\tbusiness_address\tcountry\nS1-1\t"two\nlines"\ta\tUS\nS1-2\tb\tc\tUS\n')
+    assert [r.business_name for r in tsv.read_source(spark, f"file://{tmp_path}/q.tsv").orderBy("entity_id").collect()] == ["two\nlines", "b"]
+    (tmp_path / "m.tsv").write_text("entity_id\tcountry\nS1-1\tUS\n")
+    with pytest.raises(ValueError, match="business_name"):
+        tsv.read_source(spark, f"file://{tmp_path}/m.tsv")
+    assert tsv.read_source(spark, f"file://{tmp_path}/m.tsv", ["country"]).first().country == "US"

