@@ -8,7 +8,7 @@ the index names only files of attempts that succeeded, so a lost executor leaves
 Defined results: a null payload is empty; among rows of equal payload those with the smallest id are
 responses and all others revisits (rows that repeat that id and payload are all responses); rows with a null
 id are responses unless an equal payload has an id; a null URL leaves its header out and control characters
-in URLs are percent-encoded; an empty table gives no rows and no archive; other columns are ignored.
+in URLs are percent-encoded; very long payloads are single records, held in memory one at a time; an empty table gives no rows and no archive; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:tessera:record:"
 #: Ranges closer than GAP are read together, up to SPAN bytes at once.
 GAP, SPAN = 64 << 10, 8 << 20
+#: Revisits (an id and two short strings each) that may be broadcast.
+FEW = 200_000
 
 
 def base32_sha1(data: Column) -> Column:
@@ -77,11 +79,15 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def plan_revisits(pages: DataFrame) -> DataFrame:
-    """(id, url, payload, digest, kind, refers_to) of rows (id, url, payload). Only ids and digests are grouped."""
-    keyed = pages.withColumn("payload", F.coalesce("payload", F.lit(""))).withColumn("digest", base32_sha1(F.col("payload")))
+    """(id, url, payload, digest, kind, refers_to) of rows (id, url, payload). Only ids and digests are grouped.
+
+    Up to FEW revisits are sent to where the pages are; if there are more, pages are dealt by id and digest."""
+    keyed = pages.select("id", "url", "payload").withColumn("payload", F.coalesce("payload", F.lit(""))).withColumn("digest", base32_sha1(F.col("payload")))
     narrow = keyed.select("id", "digest")
     first = narrow.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").drop("n")
     again = narrow.join(first, "digest").filter("id is null or id <> first").distinct().select(F.col("id").alias("again_id"), F.col("digest").alias("again_digest"), "first")
+    again = stored(again, "warc-revisits")
+    again = F.broadcast(again) if again.count() <= FEW else again
     joined = keyed.join(again, F.col("id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest")), "left")
     return joined.select("id", "url", "payload", "digest", F.when(F.col("first").isNull(), "response").otherwise("revisit").alias("kind"), F.col("first").alias("refers_to"))
 
