@@ -2,14 +2,16 @@
 
 Equal fingerprints form one class. Fingerprints that differ in at most `distance` bits agree in all of at
 least (segments - distance) of the segments that the 64 bits are dealt into, so each choice of that many
-segments is a join key: no pair is lost. Inside a key, the Hamming distances of every fingerprint to many
-reference fingerprints (the pivot table) are compared: by the triangle inequality a pair whose coordinates
+segments is a join key: no pair is lost. The Hamming distances of every fingerprint to many
+reference fingerprints are computed first and kept in a table (the pivot table); inside a key they are compared: by the
+triangle inequality a pair whose coordinates
 differ by more than `distance` anywhere can't be linked, and the others are verified bit by bit. Only a
 spanning forest of the links leaves a task, a star for each component. Keys with very many fingerprints are dealt into blocks, and
 every pair of blocks into a task of its own, so no task gathers an unbounded group.
 
 Defined results: a null text or one without words has fingerprint zero and is linked like any other; texts
 with fewer words than a shingle are one shingle; repeated rows share a class; an empty table gives no rows;
+very long texts are hashed in parts;
 other columns are ignored. A row with a null id has a fingerprint, and its component is the smallest id in
 its group (null if there is none).
 """
@@ -103,13 +105,22 @@ class Forest:
         return [r for r, x in found if r != x], [x for r, x in found if r != x]
 
 
-def link_blocks(forest: Forest, block: np.ndarray, fp: np.ndarray, node: np.ndarray, more: np.ndarray, distance: int, limit: int) -> None:
-    """Joins the nodes linked within each block; rows are sorted by block.
+def pivot_table(fps: DataFrame) -> DataFrame:
+    """(fp, coords): every fingerprint's Hamming distances to the reference fingerprints, a byte each."""
 
-    more: further fingerprints of each row, whose differing bits together may be `limit` at most."""
-    refs = pivots()
-    coords = np.bitwise_count(fp[:, None] ^ refs[None, :]).astype(np.int8)
-    at, step = np.arange(len(fp)), 1
+    def run(batches):
+        refs = pivots()
+        for b in batches:
+            coords = np.bitwise_count(b.column(0).to_numpy().view(np.uint64)[:, None] ^ refs[None, :])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in coords], pa.binary())], names=["fp", "coords"])
+
+    return fps.select("fp").mapInArrow(run, "fp long, coords binary")
+
+
+def link_blocks(forest: Forest, block: np.ndarray, fp: np.ndarray, coords: np.ndarray, distance: int) -> None:
+    """Joins the fingerprints linked within each block; rows are sorted by block. Pairs whose coordinates differ by more
+    than the distance anywhere are discarded, the others are verified."""
+    at, step, coords = np.arange(len(fp)), 1, coords.astype(np.int8)
     while True:
         at = at[at < len(fp) - step]
         at = at[block[at] == block[at + step]]
@@ -119,16 +130,14 @@ def link_blocks(forest: Forest, block: np.ndarray, fp: np.ndarray, node: np.ndar
         for p in range(0, coords.shape[1], 6):  # a few pivots at a time: most pairs are gone after the first
             near = near[np.abs(coords[near, p : p + 6] - coords[near + step, p : p + 6]).max(axis=1) <= distance]
         near = near[np.bitwise_count(fp[near] ^ fp[near + step]) <= distance]
-        if more.shape[1]:
-            near = near[np.bitwise_count(more[near] ^ more[near + step]).sum(axis=1, dtype=np.int64) <= limit]
-        for x, y in zip(node[near].tolist(), node[near + step].tolist()):
+        for x, y in zip(fp[near].view(np.int64).tolist(), fp[near + step].view(np.int64).tolist()):
             forest.join(x, y)
         step += 1
 
 
-def links(fps: DataFrame, distance: int = 4, node: str = "fp", more: tuple[str, ...] = (), limit: int = 0) -> DataFrame:
-    """(a, b): links between nodes that join the same components as all pairs whose column fp differs in
-    `distance` bits at most and whose columns `more` differ in `limit` bits together."""
+def links(fps: DataFrame, distance: int = 4) -> DataFrame:
+    """(a, b): links between fingerprints that join the same components as all pairs that differ in `distance` bits at most."""
+    fps = stored(pivot_table(fps), "pivot-table")
     segs = segments_for(distance, fps.count())
     keep = len(segs) - distance
     keys = []
@@ -137,37 +146,32 @@ def links(fps: DataFrame, distance: int = 4, node: str = "fp", more: tuple[str,
         for first, bits in chosen:
             key = F.shiftleft(key, bits).bitwiseOR(F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << bits) - 1).cast("long")))
         keys.append(key)
-    rest = [F.col(node).alias("node"), *more] if node != "fp" else []
-    keyed = fps.select("fp", *rest, F.explode(F.array(*[F.xxhash64(k) for k in keys])).alias("key"))
+    keyed = fps.select("fp", "coords", F.explode(F.array(*[F.xxhash64(k) for k in keys])).alias("key"))
     # stored first, so that its size is known: few keys are dense, and then the rows needn't be dealt out for the join
-    sizes = stored(keyed.select("key").groupBy("key").agg(F.count("*").alias("n")).filter(f"n > {DENSE}"), "dense-keys")
+    sizes = stored(keyed.select("key").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared-keys")
     half = DENSE // 2
-    dealt = keyed.join(sizes, "key", "left").withColumn("blocks", F.when(F.col("n").isNull(), F.lit(1).cast("long")).otherwise(F.ceil(F.col("n") / half)))
+    dealt = keyed.join(sizes, "key").withColumn("blocks", F.when(F.col("n") <= DENSE, F.lit(1).cast("long")).otherwise(F.ceil(F.col("n") / half)))
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     block = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("block")
-    dealt = dealt.select(block, "fp", *(["node", *more] if rest else []))
 
     def run(batches):
         held, forest = None, Forest()
-        for b in batches:
-            cols = [c.to_numpy() for c in b.columns]
-            cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
-            whole = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last block may go on
-            held = [c[whole:] for c in cols]
-            compare(forest, [c[:whole] for c in cols])
-        if held is not None:
-            compare(forest, held)
+        for b in itertools.chain(batches, [None]):
+            t = held if b is None else pa.Table.from_batches([b] if held is None else [*held.to_batches(), b])
+            if t is None or not t.num_rows:
+                continue
+            g = t.column("block").to_numpy()
+            whole = len(g) if b is None else int(np.searchsorted(g, g[-1]))  # the last block may go on
+            held = t.slice(whole)
+            t = t.slice(0, whole)
+            coords = np.frombuffer(b"".join(t.column("coords").to_pylist()), np.uint8).reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, 1), np.uint8)
+            link_blocks(forest, g[:whole], t.column("fp").to_numpy().view(np.uint64), coords, distance)
         # one star a component: tasks mostly find the same ones, so few links are left once repeats are gone
         a, b = forest.stars()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    def compare(forest, cols):
-        fp = cols[1].view(np.uint64)
-        extra = np.stack([c.view(np.uint64) for c in cols[3:]], axis=1) if len(cols) > 3 else np.zeros((len(fp), 0), np.uint64)
-        link_blocks(forest, cols[0], fp, cols[2] if len(cols) > 2 else cols[1], extra, distance, limit)
-
-    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long").distinct()
+    return dealt.select(block, "fp", "coords").repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long").distinct()
 
 
 def groups(df: DataFrame, words: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
