@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 
@@ -10,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _LOCAL: dict[str, str] = {}
+_HELD: dict[str, dict] = {}
+#: Python workers live long and do very different things in turn: they have few heaps, and don't start threads of their own.
+WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1"}
 
 
 def prepare(spark: SparkSession, batch_rows: int = 1000) -> None:
@@ -20,6 +25,18 @@ def prepare(spark: SparkSession, batch_rows: int = 1000) -> None:
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    for k, v in WORKERS.items():
+        env.setdefault(k, v)
+
+
+def held(owner: str) -> dict:
+    """What this Python worker keeps from task to task for an operator; what others kept is let go, and memory given back."""
+    others = [k for k in _HELD if k != owner]
+    for k in others:
+        del _HELD[k]
+    if others and sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+    return _HELD.setdefault(owner, {})
 
 
 def shared_dir(spark: SparkSession) -> str:
