@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import prepare, table
+from tessera.session import held, prepare, table
 
 BLOCK, SEGMENT = 8, 64
 #: Dimensions of the sketch and of the space, and the cosine from which a passage is a candidate.
@@ -45,7 +45,7 @@ RANK, COSINE = 64, 0.45
 #: Slices of the vocabulary that tasks' sums are dealt into.
 SLICES = 32
 #: Words of a text that are searched together; cells of a table of cosines.
-STRETCH, CELLS = 1 << 18, 1 << 21
+STRETCH, CELLS = 1 << 16, 1 << 19
 PUNCTUATION = bytes(32 if chr(i) in string.punctuation else i for i in range(256))
 
 
@@ -160,6 +160,7 @@ def corpus_pass(docs: DataFrame, sent, seed: int = 11) -> tuple[int, np.ndarray,
     cut = [d * i // SLICES for i in range(SLICES + 1)]
 
     def gather(batches):
+        held("decontamination")
         items = sent.value
         omega = random_matrix(d, seed)
         n, df, y = 0, np.zeros(d, np.int64), np.zeros((d, RANK))
@@ -387,6 +388,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, paraphr
 
     def search(sent, sent_space):
         def run(batches):
+            held("decontamination")
             items, space = sent.value, sent_space.value
             for b in batches:
                 best = found_in(items, space, b.column(1).to_pylist(), overlap, paraphrase)
@@ -412,6 +414,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, paraphras
 
     def keep(sent, sent_space):
         def run(batches):
+            held("decontamination")
             items, space = sent.value, sent_space.value
             for b in batches:
                 bad = {d for d, _ in found_in(items, space, b.column(at).to_pylist(), overlap, paraphrase, False)}

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.session import drop_stored, prepare, stored, table
+from tessera.session import held, prepare, stored, table
 
 #: Words kept per worker, so that memory stays bounded whatever the vocabulary.
 WORD_CACHE = 400_000
@@ -33,12 +33,12 @@ PLAIN = re.compile(r"[^\t\n\r\x20-\x7e¡-±´-¸º»¿-ſ]")
 #: The pre-tokenizer's words in such a text in lower case.
 WORDS = re.compile(r"[a-zªµºß-öø-ſ]+|'(?:[stmd]|re|ve|ll)|\d|(?:[^\w\s]|_)+")
 SPECIAL = "<|"
-_TOKENIZERS: dict[str, tuple] = {}
 
 
 def tokenizer(path: str):
     """The tokenizer of a file and its cache of words, once a worker."""
-    if path not in _TOKENIZERS:
+    kept = held("packing")
+    if path not in kept:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -49,8 +49,8 @@ def tokenizer(path: str):
         ends = np.zeros(tok.get_vocab_size(), bool)
         for piece, i in tok.get_vocab().items():
             ends[i] = bool(suffix) and piece.endswith(suffix)
-        _TOKENIZERS[path] = (tok, {}, words, ends)
-    return _TOKENIZERS[path]
+        kept[path] = (tok, {}, words, ends)
+    return kept[path]
 
 
 def word_ids(words: list[str], tok, ends: np.ndarray, together: int = 200) -> list[bytes]:

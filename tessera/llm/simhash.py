@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.session import drop_stored, prepare, stored, table
+from tessera.session import drop_stored, held, prepare, stored, table
 
 #: Shingles hashed at a time, so that a very long text needs little memory.
 CHUNK = 1 << 16
@@ -196,7 +196,7 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: HOT most frequent ones at most. That only orders shingles, rare ones first; any order finds the same pairs.
 SAMPLE, HOT = 10_000, 1 << 18
 #: Counts of a profile, keys that may be broadcast, and rounds against two sets a shingle.
-PROFILE, FEW, ROUNDS = 256, 1 << 20, 3
+PROFILE, FEW, ROUNDS = 256, 1 << 20, 2
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -258,6 +258,7 @@ def prefixes(rows: DataFrame, similarity: float, words: int) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, words))
 
     def run(batches):
+        held("near copies")
         hot, count = sent.value
         seen: set[int] = set()
         for b in batches:

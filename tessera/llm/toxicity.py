@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import prepare, stored, table
+from tessera.session import held, prepare, stored, table
 
 LISTS = {
     "insult": "idiot idiots moron morons imbecile fool dumb stupid dimwit halfwit blockhead idiota imbécile crétin dummkopf trottel estúpido tonto".split(),
@@ -220,6 +220,7 @@ def fit(docs: DataFrame, labelled: DataFrame, max_labelled: int = 20_000, max_fi
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
+        held("toxicity")
         for b in batches:
             got = [read(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["".join(map(str, v)) for v, _ in got], pa.string()), pa.array([f for _, f in got], pa.list_(pa.int32()))], names=["id", "votes", "found"])
@@ -257,6 +258,7 @@ def clean(docs: DataFrame, labelled: DataFrame, threshold: float = 0.5, id_col:
     at = docs.columns.index(text_col)
 
     def run(batches):
+        held("toxicity")
         one = model.scorer()
         for b in batches:
             yield b.filter(pa.array([one(t) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
