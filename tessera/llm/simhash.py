@@ -342,9 +342,11 @@ def shared_shingles(rows: DataFrame, similarity: float, words: int) -> tuple[Dat
     keys = found.select("node", F.col("n").cast("long").alias("n"), F.posexplode("prefix").alias("at", "k"))
     packed = keys.select("k", "node", (F.shiftleft("n", 32) + F.col("at")).alias("place"))
     ends = packed.groupBy("k").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
+    ends = stored(ends, "shared-keys")
+    released(rows.sparkSession)  # one shuffle of all prefixes at a time
     both = packed.join(ends, "k").select("k", "node", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("at"), "low", "high")
     shared = stored(both.distinct(), "shared-shingles")  # copies of one text in several tasks are one node
-    drop_stored(found)
+    drop_stored(found, ends)
     return docs, sets, shared
 
 
@@ -445,15 +447,22 @@ def similar_groups(rows: DataFrame, similarity: float, words: int) -> DataFrame:
             met = F.filter(F.array(F.struct(ordered("node", "hub").alias("p"), F.col("main").alias("other")), F.struct(ordered("node", "out").alias("p"), F.col("out_part").alias("other"))), lambda x: x.other != F.col("part"))
             pairs = left.select("part", F.explode(met).alias("x")).select("x.p.a", "x.p.b").distinct().join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs.distinct(), "pairs")
+        if turn:
+            drop_stored(left)
+        released(rows.sparkSession)
         links = alike(pairs, sets, rows, similarity, words)
         tried, found = (pairs, links) if turn == 0 else (tried.unionByName(pairs), found.unionByName(links))
         parts = connected_components(found)
         released(rows.sparkSession)
-    second = stored(across(open_shingles(shared, parts, 0), sets, similarity).join(tried, ["a", "b"], "left_anti"), "pairs")
+    left = open_shingles(shared, parts, 0)
+    drop_stored(shared)
+    released(rows.sparkSession)
+    second = stored(across(left, sets, similarity).join(tried, ["a", "b"], "left_anti"), "pairs")
+    drop_stored(left)
     released(rows.sparkSession)
     if not second.isEmpty():
         parts = connected_components(found.unionByName(alike(second, sets, rows, similarity, words)))
-    drop_stored(shared, second, sets)
+    drop_stored(second, sets)
     return docs.join(parts, "node", "left").select("id", "key", F.coalesce("component", "node").alias("component"))
 
 
