@@ -58,9 +58,11 @@ LATIN_FROM, LATIN_TO = _latin()
 
 def latin_to_ascii(c: Column) -> Column:
     """Latin letters without accents; all else stays."""
-    out = F.translate(c, LATIN_FROM, LATIN_TO)
+    single = {a: b for a, b in LIGATURES.items() if len(b) == 1}
+    out = F.translate(c, LATIN_FROM + "".join(single), LATIN_TO + "".join(single.values()))
     for a, b in LIGATURES.items():
-        out = F.replace(out, F.lit(a), F.lit(b))
+        if a not in single:
+            out = F.replace(out, F.lit(a), F.lit(b))
     return out
 
 
@@ -94,9 +96,8 @@ def transliterate(texts: pd.Series) -> pd.Series:
 
 def to_ascii(c: Column) -> Column:
     """Latin letters without accents in the JVM; only text that has other scripts or loose marks goes through transliterate()."""
-    plain = latin_to_ascii(c)
-    other = plain.rlike(r"[^\x00-\x7F]")
-    return F.when(other, transliterate(F.when(other, c))).otherwise(plain)
+    other = c.rlike(r"[^\x00-\x7F" + LATIN_FROM + "".join(LIGATURES) + "]")
+    return F.when(other, transliterate(F.when(other, c))).otherwise(latin_to_ascii(c))
 
 
 def words(c: Column) -> Column:
