@@ -124,13 +124,13 @@ def clean_text(c: Column, ascii_only: bool = True) -> Column:
 
 def core_name(name: Column, country: Column) -> Column:
     """A cleaned name without up to three legal suffixes of its country; never empty unless the name is."""
-    pattern = {k: rf"\b({v})\s*$" for k, v in [*SUFFIXES.items(), ("", ALL_SUFFIXES)]}
+    # The country is put before the name, so that suffixes of all countries are one pattern and each step names its input once.
+    own = "|".join(rf"{k}\x00.*?\b(?=(?:{v})\s*$)" for k, v in [*SUFFIXES.items(), ("", ALL_SUFFIXES)])
+    mark = F.concat(F.when(country.isin(*SUFFIXES), country).otherwise(""), F.lit("\x00"))
 
     def strip(c: Column) -> Column:
-        out = F.regexp_replace(c, pattern[""], "")
-        for k in SUFFIXES:
-            out = F.when(country == k, F.regexp_replace(c, pattern[k], "")).otherwise(out)
-        return F.trim(out)
+        out = F.regexp_replace(F.concat(mark, c), rf"(?s)^({own}).*$", "$1")
+        return F.trim(F.regexp_replace(out, r"(?s)^[^\x00]*\x00", ""))
 
     core = strip(strip(strip(name)))
     return F.when(core == "", name).otherwise(core)
