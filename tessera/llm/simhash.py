@@ -18,6 +18,7 @@ its group (null if there is none).
 
 from __future__ import annotations
 
+import functools
 import gc
 import itertools
 import math
@@ -197,6 +198,8 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 SAMPLE, HOT = 10_000, 1 << 18
 #: Counts of a profile, keys that may be broadcast, and rounds against two sets a shingle.
 PROFILE, FEW, ROUNDS = 256, 1 << 20, 2
+#: Prefix shingles are shuffled in so many parts by their hash, one after another, so that the disk holds one part's shuffle at a time.
+PASSES = 4
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -332,24 +335,32 @@ def alike(pairs: DataFrame, sets: DataFrame, rows: DataFrame, similarity: float,
     return found
 
 
-def shared_shingles(rows: DataFrame, similarity: float, words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(id, key, node) of all rows; (node, key, n, profile) of each node; and (k, node, n, at, low, high): prefix shingles
-    that several nodes have, with the first and last of these."""
+def shared_shingles(rows: DataFrame, similarity: float, words: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(id, key, node) of all rows; (node, key, n, profile) of each node; and, by passes, (k, node, n, at, low, high): prefix
+    shingles that several nodes have, with the first and last of these."""
     found = stored(prefixes(rows, similarity, words), "prefixes")
     docs = stored(found.select("id", "key", "node"), "set-nodes")
     # size and profile are the node's, whichever row they come from
     sets = stored(found.groupBy("node").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.any_value("profile").alias("profile")), "sets")
     keys = found.select("node", F.col("n").cast("long").alias("n"), F.posexplode("prefix").alias("at", "k"))
-    packed = keys.select("k", "node", (F.shiftleft("n", 32) + F.col("at")).alias("place"))
-    ends = packed.groupBy("k").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    ends = stored(ends, "shared-keys")
-    released(rows.sparkSession)  # one shuffle of all prefixes at a time
-    both = packed.join(ends, "k").select("k", "node", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("at"), "low", "high")
-    shared = stored(both.distinct(), "shared-shingles")  # copies of one text in several tasks are one node
-    drop_stored(found, ends)
+    shared = []
+    for turn in range(PASSES):
+        released(rows.sparkSession)
+        packed = keys.filter(F.pmod("k", F.lit(PASSES)) == turn).select("k", "node", (F.shiftleft("n", 32) + F.col("at")).alias("place"))
+        ends = packed.groupBy("k").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
+        ends = stored(ends, "shared-keys")
+        released(rows.sparkSession)  # one shuffle of prefixes at a time
+        both = packed.join(ends, "k").select("k", "node", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("at"), "low", "high")
+        shared.append(stored(both.distinct(), "shared-shingles"))  # copies of one text in several tasks are one node
+        drop_stored(ends)
+    drop_stored(found)
     return docs, sets, shared
 
 
+def together(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def released(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files that nothing refers to; else they stay until the driver happens to collect its garbage."""
     gc.collect()
@@ -366,7 +377,9 @@ def open_shingles(shared: DataFrame, parts: DataFrame, turn: int) -> DataFrame:
     out = F.when(F.col("lo.part") == F.col("most.part"), F.col("hi")).otherwise(F.col("lo"))
     keys = keys.select("k", F.col("most.part").alias("main"), F.col("most.one.node").alias("hub"), out.alias("o"), F.col("most.c").alias("inside"), (F.col("c") - F.col("most.c")).alias("outside"))
     keys = keys.select("k", "main", "hub", F.col("o.one.node").alias("out"), F.col("o.part").alias("out_part"), "inside", "outside")
-    return stored(placed.join(keys, "k"), "open-shingles")
+    out = stored(placed.join(keys, "k"), "open-shingles")
+    released(shared.sparkSession)
+    return out
 
 
 def ordered(x: str, y: str) -> Column:
@@ -441,28 +454,29 @@ def similar_groups(rows: DataFrame, similarity: float, words: int) -> DataFrame:
     for turn in range(ROUNDS):
         if turn == 0:
             met = F.array(ordered("node", "low"), ordered("node", "high"))
-            pairs = shared.select(F.explode(met).alias("p")).select("p.a", "p.b").filter("a <> b")
+            pairs = together(shared).select(F.explode(met).alias("p")).select("p.a", "p.b").filter("a <> b")
         else:
-            left = open_shingles(shared, parts, turn)
+            left = [open_shingles(some, parts, turn) for some in shared]
             met = F.filter(F.array(F.struct(ordered("node", "hub").alias("p"), F.col("main").alias("other")), F.struct(ordered("node", "out").alias("p"), F.col("out_part").alias("other"))), lambda x: x.other != F.col("part"))
-            pairs = left.select("part", F.explode(met).alias("x")).select("x.p.a", "x.p.b").distinct().join(tried, ["a", "b"], "left_anti")
+            pairs = together(left).select("part", F.explode(met).alias("x")).select("x.p.a", "x.p.b").distinct().join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs.distinct(), "pairs")
         if turn:
-            drop_stored(left)
+            drop_stored(*left)
         released(rows.sparkSession)
         links = alike(pairs, sets, rows, similarity, words)
         tried, found = (pairs, links) if turn == 0 else (tried.unionByName(pairs), found.unionByName(links))
         parts = connected_components(found)
         released(rows.sparkSession)
-    left = open_shingles(shared, parts, 0)
-    drop_stored(shared)
-    released(rows.sparkSession)
-    second = stored(across(left, sets, similarity).join(tried, ["a", "b"], "left_anti"), "pairs")
-    drop_stored(left)
-    released(rows.sparkSession)
+    rest = []
+    for some in shared:
+        left = open_shingles(some, parts, 0)
+        rest.append(stored(across(left, sets, similarity).join(tried, ["a", "b"], "left_anti"), "pairs"))
+        drop_stored(some, left)
+        released(rows.sparkSession)
+    second = together(rest).distinct()
     if not second.isEmpty():
         parts = connected_components(found.unionByName(alike(second, sets, rows, similarity, words)))
-    drop_stored(second, sets)
+    drop_stored(sets, *rest)
     return docs.join(parts, "node", "left").select("id", "key", F.coalesce("component", "node").alias("component"))
 
 
