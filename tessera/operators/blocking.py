@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import retrieval
 from tessera.operators.entities import UNKNOWN
 
 CHANNELS = ("core_name", "name_tokens", "prefix", "postal", "number", "compound_address")
@@ -45,12 +46,8 @@ def usable(channels) -> list[str]:
     return list(channels)
 
 
-def scores(queries: DataFrame, targets: DataFrame, channels=DEFAULT_CHANNELS) -> DataFrame:
-    """(s1_id, target_id, doc_ord, score by family, combined) of every pair that shares a usable key.
-
-    Keys with too many postings go before the join, which bounds both its output and its skew."""
-    chosen = usable(channels)
-    postings = channel_keys(targets).filter(F.col("channel").isin(chosen))
+def usable_keys(postings: DataFrame, targets: DataFrame) -> DataFrame:
+    """(part_key, channel, key, points) of the keys whose posting lists aren't too long."""
     sizes = targets.filter("part_key is not null").groupBy("part_key").agg(F.count("*").alias("docs"))
     longest = F.create_map(*[F.lit(x) for kv in LONGEST.items() for x in kv])
     stats = index_stats(postings).filter(F.col("n") <= longest[F.col("channel")]).join(sizes, "part_key")
@@ -60,8 +57,22 @@ def scores(queries: DataFrame, targets: DataFrame, channels=DEFAULT_CHANNELS) ->
         .when(F.col("channel") == "postal", F.lit(POSTAL)).when(F.col("channel") == "number", NUMBER + idf)
         .when(F.col("key").startswith("p_"), F.lit(POSTAL_NUMBER)).otherwise(F.lit(STREET_NUMBER))
     )
+    return stats.select("part_key", "channel", "key", points.alias("points"))
+
+
+def _sides(queries: DataFrame, targets: DataFrame, channels) -> tuple[DataFrame, DataFrame]:
+    """The queries' keys and the targets' postings in some channels."""
+    chosen = usable(channels)
     asked = channel_keys(queries, query=True).filter(F.col("channel").isin(chosen)).select("part_key", "channel", "key", F.col("entity_id").alias("s1_id"))
-    weighted = asked.join(stats.withColumn("points", points).drop("n", "docs"), ["part_key", "channel", "key"])
+    return asked, channel_keys(targets).filter(F.col("channel").isin(chosen))
+
+
+def scores(queries: DataFrame, targets: DataFrame, channels=DEFAULT_CHANNELS) -> DataFrame:
+    """(s1_id, target_id, doc_ord, score by family, combined) of every pair that shares a usable key.
+
+    A row for every hit is shuffled: this is for looking at scores. Candidates come from retrieval, which makes no pairs."""
+    asked, postings = _sides(queries, targets, channels)
+    weighted = asked.join(usable_keys(postings, targets), ["part_key", "channel", "key"])
     hits = weighted.join(postings.withColumnRenamed("entity_id", "target_id"), ["part_key", "channel", "key"])
     family = {"core": ["core_name"], "token": ["name_tokens", "prefix"], "number": ["number"], "postal": ["postal"], "address": ["compound_address"]}
     sums = [F.sum(F.when(F.col("channel").isin(c), F.col("points"))).alias(f) for f, c in family.items()]
@@ -87,14 +98,19 @@ def select_reserved(scored: DataFrame, top_k: int = 300) -> DataFrame:
     return df.select("s1_id", "target_id", "doc_ord", F.row_number().over(order).alias("rank"), "combined")
 
 
+def reserved(queries: DataFrame, targets: DataFrame, top_k: int, channels=DEFAULT_CHANNELS) -> DataFrame:
+    """What select_reserved takes of scores(), without making all pairs."""
+    return retrieval.retrieve(*_sides(queries, targets, channels), lambda postings: usable_keys(postings, targets), retrieval.reserved_slots(top_k), top_k)
+
+
 def candidates(queries: DataFrame, targets: DataFrame, top_k: int = 300, channels=DEFAULT_CHANNELS, fallback: bool = False) -> DataFrame:
     """Ranked candidates of each query within its partition; with fallback, also those of the unknown partition
     that aren't there yet, ranked after the others."""
-    found = select_reserved(scores(queries, targets, channels), top_k)
+    found = reserved(queries, targets, top_k, channels)
     if not fallback:
         return found
     elsewhere = queries.filter(f"part_key is not null and part_key <> '{UNKNOWN}'").withColumn("part_key", F.lit(UNKNOWN))
-    more = select_reserved(scores(elsewhere, targets.filter(f"part_key = '{UNKNOWN}'"), channels), max(10, top_k // 5))
+    more = reserved(elsewhere, targets.filter(f"part_key = '{UNKNOWN}'"), max(10, top_k // 5), channels)
     last = found.groupBy("s1_id").agg(F.max("rank").alias("last"))
     new = more.join(found, ["s1_id", "target_id"], "left_anti").join(last, "s1_id", "left")
     order = Window.partitionBy("s1_id").orderBy("rank")
@@ -104,6 +120,5 @@ def candidates(queries: DataFrame, targets: DataFrame, top_k: int = 300, channel
 
 def token_topk(queries: DataFrame, targets: DataFrame, top_k: int) -> DataFrame:
     """The best candidates by shared name tokens alone."""
-    scored = scores(queries, targets, ["name_tokens"])
-    order = Window.partitionBy("s1_id").orderBy(F.desc("combined"), "doc_ord")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k).select("s1_id", "target_id", "rank", "combined")
+    found = retrieval.retrieve(*_sides(queries, targets, ["name_tokens"]), lambda postings: usable_keys(postings, targets), [], top_k)
+    return found.select("s1_id", "target_id", "rank", "combined")
