@@ -1,12 +1,14 @@
 """Exact top-k inner products by aggregation without random access.
 
-Candidates and queries are dealt into blocks of bounded size, and every pair of blocks meets in one task, dealt by both
-numbers, so no block's copies gather in one place. A candidate block keeps one sorted list per dimension. A query
+Candidates and queries are dealt into blocks of bounded size. A task takes a block of queries and meets a group of candidate
+blocks one after another, with each query's k best so far. A candidate block keeps one sorted list per dimension. A query
 reads all lists in step, each from its large end where the query's component is positive and from its small
-end where it is negative, and adds what it reads to its rows' sums. At set depths a row's upper bound takes
-the value just read, and its lower bound the list's far end, for what the row hasn't been seen in; rows that can't reach
-the k-th lower bound, or the k-th score of the first candidate block, go. Reading stops when few rows can qualify, and
-their scores are resolved exactly. Bounds are doubles, widened by their rounding error; final scores are integers.
+end where it is negative. At set depths a row's upper bound takes what was read of the row, and the value just read for
+what the row hasn't been seen in; as long as a query has no k rows, its lower bound takes the list's far end instead. Rows that can't
+reach the k-th score so far, or the k-th lower bound, go. The sums of all queries of a chunk to a depth are one matrix
+product: a row counts in a list with its own value if that has been read, else with the last value read.
+Reading stops when few rows can qualify, and their scores are resolved exactly; the next block is first judged at the depth that was
+enough. Bounds are floats, widened by their rounding error; final scores are integers.
 
 For vectors without structure the lists have to be read almost to their ends; the README gives figures.
 
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 
 from tessera.session import prepare, stored, table
 
-CANDIDATES, QUERIES = 2048, 1024
+CANDIDATES, QUERIES = 2048, 32768
+#: Queries whose bounds are taken at once, pairs resolved at once, tasks that are enough for all workers, and blocks after which a lesser depth is tried again.
+CHUNK, PAIRS, TASKS, AGAIN = 1024, 16384, 64, 16
 #: Depths, in sixteenths of the lists, at which bounds are taken.
 DEPTHS = (1, 2, 4, 8, 10, 11, 12, 13, 14, 15)
 
@@ -43,11 +47,13 @@ def matrix(lists: pa.ListArray, width: int | None = None) -> np.ndarray:
     return out
 
 
-def exact(x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The integer inner products of the rows of x with q: held at the ends of 64 bits, and what lies beyond these."""
-    if float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, x.shape[1]) < 2.0**53:
-        return (x.astype(float) @ q.astype(float)).astype(np.int64), np.zeros(len(x))
-    found = [sum(int(a) * int(b) for a, b in zip(r, q)) for r in x.tolist()]
+def exact(x: np.ndarray, q: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The integer inner products of the rows of x and q, pair by pair: held at the ends of 64 bits, and what lies beyond
+    these. small: all sums are below 2 ** 53."""
+    if small:
+        parts = [np.einsum("ij,ij->i", x[at : at + PAIRS].astype(float), q[at : at + PAIRS].astype(float)) for at in range(0, len(x), PAIRS)]
+        return np.concatenate([np.zeros(0), *parts]).astype(np.int64), np.zeros(len(x))
+    found = [sum(int(a) * int(b) for a, b in zip(*r)) for r in zip(x.tolist(), q.tolist())]
     held = [max(-(2**63), min(2**63 - 1, s)) for s in found]
     return np.array(held, np.int64), np.array([float(s - h) for s, h in zip(found, held)])
 
@@ -57,41 +63,103 @@ class Lists:
 
     def __init__(self, x: np.ndarray, ids: np.ndarray):
         self.x, self.ids, self.fx = x, ids, x.astype(float)
-        self.order = np.argsort(self.fx, axis=0, kind="stable").T.copy()  # dimensions, then places
-        self.value = np.take_along_axis(self.fx.T, self.order, axis=1)
-        self.rank = np.empty(x.shape, np.int32)
-        np.put_along_axis(self.rank, self.order.T, np.arange(len(x), dtype=np.int32)[:, None], axis=0)
+        self.value = np.sort(self.fx, axis=0)  # each column is a list
         self.largest = np.abs(self.fx).max(axis=0, initial=0)
-
-    def topk(self, q: np.ndarray, own: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
-        """(scores, what they lack, ids) of the k best rows, and how many list entries were read and how many scores resolved; floor: a score that k other rows reach."""
-        n, used = len(self.x), np.flatnonzero(q)
-        left, read = np.flatnonzero(self.ids != own), 0
-        if len(used) and len(left) > k:
-            w = q[used].astype(float)
-            up, sums, at = w > 0, np.zeros(n), 0
-            slack = 2.0**-50 * len(used) * float(np.abs(w) @ self.largest[used])
-            order, value, rank = self.order[used], self.value[used], self.rank[:, used]
-            far = np.where(up, value[:, 0], value[:, -1]) * w
-            for depth in DEPTHS:
-                to = n * depth // 16
-                if to <= at:
+        self.sides: dict[tuple, np.ndarray] = {}
+
+    def side(self, to: int, upper: bool, kind) -> np.ndarray:
+        """What each row counts for in each list read to a depth from the large end, and next to it from the small end."""
+        if (to, upper, kind) not in self.sides:
+            x, high, low = self.fx, self.value[len(self.x) - to], self.value[to - 1]
+            if upper:
+                down, up = np.maximum(x, high), np.minimum(x, low)
+            else:  # equal values at the depth may be unread: a row may count for the far end
+                down, up = np.where(x > high, x, self.value[0]), np.where(x < low, x, self.value[-1])
+            self.sides[to, upper, kind] = np.concatenate([down, up], axis=1).astype(kind).T.copy()
+        return self.sides[to, upper, kind]
+
+    def left(self, q: np.ndarray, own: np.ndarray, k: int, floors: np.ndarray, start: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Pairs (query, row) that may be among the k best, how many list entries each query read, and at which of the
+        depths reading stopped. floors: a score that k other rows reach; start: the first depth at which bounds are taken."""
+        n, m, used = len(self.x), len(q), (q != 0).sum(axis=1)
+        fq, stopped = q.astype(float), start
+        may, read = None, np.zeros(m, np.int64)
+        if n > k and q.shape[1]:
+            mass = np.abs(fq) @ self.largest
+            kind = np.float32 if float(mass.max(initial=0)) < 2.0**100 else np.float64
+            slack = mass * (2 * q.shape[1] + 8) * (2.0**-22 if kind is np.float32 else 2.0**-51)
+            both = np.concatenate([np.maximum(fq, 0), np.minimum(fq, 0)], axis=1).astype(kind)
+            for at in range(start, len(DEPTHS)):
+                to = n * DEPTHS[at] // 16
+                if not to:
                     continue
-                near, end = slice(at, to), slice(n - to, n - at)
-                rows = np.concatenate([order[up, end].ravel(), order[~up, near].ravel()])
-                seen = np.concatenate([(value[up, end] * w[up, None]).ravel(), (value[~up, near] * w[~up, None]).ravel()])
-                sums += np.bincount(rows, weights=seen, minlength=n)
-                read, at = read + len(rows), to
-                last = np.where(up, value[:, n - to], value[:, to - 1]) * w
-                unseen = np.where(up, rank[left] < n - to, rank[left] >= to).astype(float)
-                upper, lower = sums[left] + unseen @ last + slack, sums[left] + unseen @ far - slack
-                kth = max(floor, float(np.partition(lower, len(left) - k)[len(left) - k])) if len(left) >= k else floor
-                left = left[upper >= kth]
-                if len(left) <= 4 * k:
+                least = floors - np.abs(floors) * 2.0**-50 if np.isfinite(floors).all() else self.lower(both, to, kind, own, k, floors, slack)
+                upper = both @ self.side(to, True, kind)
+                may = upper >= np.nextafter((least - slack).astype(kind), kind(-np.inf))[:, None]
+                read, stopped = to * used, at
+                if np.count_nonzero(may) <= 4 * k * m:
                     break
-        scores, beyond = exact(self.x[left], q)
-        best = np.lexsort((self.ids[left], -beyond, -1 - scores))[:k]
-        return scores[best], beyond[best], self.ids[left][best], read, len(left)
+        if may is None:
+            may = np.ones((m, n), bool)
+        at, row = np.divmod(np.flatnonzero(may), n)  # rather than nonzero() of two dimensions, which is slow
+        other = self.ids[row] != own[at]
+        return at[other], row[other], read, stopped
+
+    def lower(self, both: np.ndarray, to: int, kind, own: np.ndarray, k: int, floors: np.ndarray, slack: np.ndarray) -> np.ndarray:
+        """The k-th lower bound of each query, or its floor if that is larger."""
+        bound = both @ self.side(to, False, kind)
+        bound[self.ids[None, :] == own[:, None]] = -np.inf
+        kth = np.partition(bound, len(self.x) - k, axis=1)[:, len(self.x) - k].astype(float) - slack
+        return np.maximum(floors, kth)
+
+    def resolve(self, q: np.ndarray, at: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of pairs, and what they lack."""
+        small = float(self.largest.max(initial=0)) * float(np.abs(q.astype(float)).max(initial=0)) * max(1, q.shape[1]) < 2.0**53
+        parts = [exact(self.x[row[i : i + PAIRS]], q[at[i : i + PAIRS]], small) for i in range(0, len(at), PAIRS)]
+        return np.concatenate([np.zeros(0, np.int64), *[p[0] for p in parts]]), np.concatenate([np.zeros(0), *[p[1] for p in parts]])
+
+    def topk(self, q: np.ndarray, own: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+        """(scores, what they lack, ids) of one query's k best rows, and how many list entries were read and how many scores resolved."""
+        best = Best(q[None, :], np.array([own]), k)
+        best.floors[:] = floor
+        read, resolved = best.add(self)
+        return best.score, best.beyond, best.ids, int(read[0]), int(resolved[0])
+
+
+class Best:
+    """The k best rows so far of each query of a block."""
+
+    def __init__(self, q: np.ndarray, own: np.ndarray, k: int):
+        self.q, self.own, self.k, self.floors = q, own, k, np.full(len(q), -np.inf)
+        self.at, self.score, self.beyond, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        self.start, self.met = [0] * -(-len(q) // CHUNK), 0
+
+    def add(self, lists: Lists) -> tuple[np.ndarray, np.ndarray]:
+        """Meets a block of candidates; returns how many list entries each query read and how many of its scores were resolved."""
+        width = max(self.q.shape[1], lists.x.shape[1])
+        self.q = np.pad(self.q, ((0, 0), (0, width - self.q.shape[1])))
+        if lists.x.shape[1] < width:
+            lists = Lists(np.pad(lists.x, ((0, 0), (0, width - lists.x.shape[1]))), lists.ids)
+        read, resolved, new = np.zeros(len(self.q), np.int64), np.zeros(len(self.q), np.int64), []
+        self.met += 1
+        for i, first in enumerate(range(0, len(self.q), CHUNK)):
+            some = slice(first, first + CHUNK)
+            start = max(0, self.start[i] - 1) if self.met % AGAIN == 0 else self.start[i]
+            at, row, read[some], self.start[i] = lists.left(self.q[some], self.own[some], self.k, self.floors[some], start)
+            score, beyond = lists.resolve(self.q[some], at, row)
+            resolved[some] = np.bincount(at, minlength=len(self.q[some]))
+            worth = score.astype(float) + beyond >= (self.floors[some] - np.abs(self.floors[some]) * 2.0**-50)[at] if np.isfinite(self.floors[some]).all() else slice(None)
+            new.append((at[worth] + first, score[worth], beyond[worth], lists.ids[row[worth]]))
+        at, score, beyond, ids = (np.concatenate([old, *x]) for old, x in zip((self.at, self.score, self.beyond, self.ids), zip(*new)))
+        order = np.lexsort((ids, -beyond, -1 - score, at))
+        at = at[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)  # a query's first row has place 0
+        keep = place < self.k
+        order = order[keep]
+        self.at, self.score, self.beyond, self.ids = at[keep], score[order], beyond[order], ids[order]
+        last = place[keep] == self.k - 1
+        self.floors[self.at[last]] = np.maximum(self.floors[self.at[last]], self.score[last].astype(float) + self.beyond[last])
+        return read, resolved
 
 
 def dealt(rows: DataFrame, block, name: str) -> DataFrame:
@@ -107,43 +175,42 @@ def topk(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id",
     cblocks = max(1, -(-df.count() // CANDIDATES))
     queries = queries.groupBy("id").agg(F.min("v").alias("v"))
     qblocks = max(1, -(-queries.count() // QUERIES))
-    cand = stored(dealt(df, F.pmod(F.monotonically_increasing_id(), F.lit(cblocks)).cast("int"), "c"), "candidate-blocks")
+    groups = max(1, min(-(-cblocks // 2), -(-TASKS // qblocks)))
+    cand = stored(dealt(df, F.pmod(F.monotonically_increasing_id(), F.lit(cblocks)).cast("int"), "turn"), "candidate-blocks")
     ask = stored(dealt(queries, F.pmod(F.xxhash64("id"), F.lit(qblocks)).cast("int"), "q"), "query-blocks")
 
     def run(batches):
+        now, best = None, None
+
+        def rows(found):
+            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in found[:3]), pa.array(found[3], pa.float64())], names=["query_id", "vec_id", "score", "beyond"])
+
+        def results():
+            if best is not None and not counters:
+                yield rows((best.own[best.at], best.ids, best.score, best.beyond))
+
         for b in batches:
-            out = [[], [], [], []]
             for i in range(b.num_rows):
-                ids, qids, floors = (np.array(b.column(c)[i].as_py(), float if c == 4 else np.int64) for c in (0, 2, 4))
-                x, q = (matrix(b.column(c)[i].values) for c in (1, 3))
-                width = max(x.shape[1], q.shape[1])
-                x, q = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, q))
-                lists = Lists(x, ids)
-                for j, (own, floor) in enumerate(zip(qids.tolist(), floors.tolist())):
-                    s, more, v, read, resolved = lists.topk(q[j], own, k, floor)
+                place, turn = (b.column(0)[i].as_py(), b.column(1)[i].as_py()), b.column(2)[i].as_py()
+                ids, x = b.column(3)[i].values.to_numpy(), matrix(b.column(4)[i].values)
+                if place != now:
+                    yield from results()
+                    now, best = place, None
+                if turn < 0:
+                    best = Best(x, ids, k)
+                elif best is not None:
+                    read, resolved = best.add(Lists(x, ids))
                     if counters:
-                        s, more, v = np.array([read]), np.zeros(1), np.array([resolved])
-                    for column, part in zip(out, ([own] * len(s), v.tolist(), s.tolist(), more.tolist())):
-                        column += part
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.float64())], names=["query_id", "vec_id", "score", "beyond"])
-
-    def meet(cand, ask):
-        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        pairs = cand.withColumn("q", each(qblocks)).join(ask.withColumn("c", each(cblocks)), ["q", "c"])
-        return pairs.select("c_ids", "c_vecs", "q_ids", "q_vecs", "floors").mapInArrow(run, "query_id long, vec_id long, score long, beyond double")
-
-    # the first block's k-th scores are where all others start from
-    none = ask.withColumn("floors", F.transform("q_ids", lambda _: F.lit(float("-inf"))))
-    first = stored(meet(cand.filter("c = 0"), none), "first-block")
-    if cblocks > 1:
-        worst = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).filter(F.col("n") == k)
-        worst = worst.select(F.col("query_id").alias("id"), F.col("least").cast("double").alias("least"))
-        asked = ask.select("q", F.explode(F.arrays_zip("q_ids", "q_vecs")).alias("x")).select("q", F.col("x.q_ids").alias("id"), F.col("x.q_vecs").alias("v")).join(worst, "id", "left")
-        asked = asked.groupBy("q").agg(F.collect_list(F.struct("id", "v", F.coalesce("least", F.lit(float("-inf"))).alias("floor"))).alias("rows"))
-        asked = asked.select("q", F.col("rows.id").alias("q_ids"), F.col("rows.v").alias("q_vecs"), F.col("rows.floor").alias("floors"))
-        found = first.unionByName(meet(cand.filter("c > 0"), asked))
-    else:
-        found = first
+                        yield rows((best.own, resolved, read, np.zeros(len(read))))
+        yield from results()
+
+    # a task has a block of queries, and then a group of candidate blocks in turn
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    columns = lambda n: (F.col(f"{n}_ids").alias("ids"), F.col(f"{n}_vecs").alias("vecs"))
+    asked = ask.withColumn("g", each(groups)).select("q", "g", F.lit(-1).alias("turn"), *columns("q"))
+    met = cand.withColumn("q", each(qblocks)).select("q", F.pmod("turn", F.lit(groups)).alias("g"), "turn", *columns("turn"))
+    together = asked.unionByName(met).repartition(2 * qblocks * groups, "q", "g").sortWithinPartitions("q", "g", "turn")
+    found = together.mapInArrow(run, "query_id long, vec_id long, score long, beyond double")
     if counters:
         return found.select("query_id", F.col("score").alias("read"), F.col("vec_id").alias("resolved"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
