@@ -22,7 +22,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies (five-word shingles, similarity 0.8 or more)."""
+    """The document of smallest id of each group of near copies (five-word shingles, similarity 0.8 or more): SimHash groups,
+    verified, and what fingerprints miss by shared shingles."""
     return simhash.dedup(docs).select(*docs.columns)
 
 

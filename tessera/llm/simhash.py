@@ -442,19 +442,32 @@ def across(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return dealt.repartition("group").sortWithinPartitions("group", "turn").mapInArrow(run, "a long, b long").distinct()
 
 
+def fingerprint_pairs(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that the SimHash groups of the texts propose: every node of a group with the group's first."""
+    nodes = docs.select("key", "node").distinct()
+    placed = groups(rows.select("key", "text"), id_col="key").select("key", "component").distinct().join(nodes, "key").select("node", "component").distinct()
+    placed = stored(placed, "fingerprint-groups")
+    hubs = placed.groupBy("component").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").select("component", "hub")
+    pairs = placed.join(hubs, "component").filter("node <> hub").select(ordered("node", "hub").alias("p")).select("p.a", "p.b")
+    return stored(pairs.distinct(), "fingerprint-pairs")
+
+
 def similar_groups(rows: DataFrame, similarity: float, words: int) -> DataFrame:
     """(id, key, component) of rows (id, key, text): groups of texts linked by shingle sets of at least that similarity.
 
-    Sets that are so similar share a shingle of their prefixes, so no pair is lost. In each of a few rounds every set
+    First come the pairs that SimHash groups propose, verified like all others. Fingerprints miss pairs that are so similar,
+    so the rest is found exactly: sets share a shingle of their prefixes, and no pair is lost. In each of a few rounds every set
     is held against two of those it shares a shingle with, the same two for all that share it, so that most groups
     are found by few pairs; then whatever isn't in one group yet is compared in full. Every link is an exact Jaccard."""
     docs, sets, shared = shared_shingles(rows, similarity, words)
     released(rows.sparkSession)
-    found = tried = None
+    tried = fingerprint_pairs(rows, docs)
+    released(rows.sparkSession)
+    found = alike(tried, sets, rows, similarity, words)
     for turn in range(ROUNDS):
         if turn == 0:
             met = F.array(ordered("node", "low"), ordered("node", "high"))
-            pairs = together(shared).select(F.explode(met).alias("p")).select("p.a", "p.b").filter("a <> b")
+            pairs = together(shared).select(F.explode(met).alias("p")).select("p.a", "p.b").filter("a <> b").distinct().join(tried, ["a", "b"], "left_anti")
         else:
             left = [open_shingles(some, parts, turn) for some in shared]
             met = F.filter(F.array(F.struct(ordered("node", "hub").alias("p"), F.col("main").alias("other")), F.struct(ordered("node", "out").alias("p"), F.col("out_part").alias("other"))), lambda x: x.other != F.col("part"))
@@ -464,7 +477,7 @@ def similar_groups(rows: DataFrame, similarity: float, words: int) -> DataFrame:
             drop_stored(*left)
         released(rows.sparkSession)
         links = alike(pairs, sets, rows, similarity, words)
-        tried, found = (pairs, links) if turn == 0 else (tried.unionByName(pairs), found.unionByName(links))
+        tried, found = tried.unionByName(pairs), found.unionByName(links)
         parts = connected_components(found)
         released(rows.sparkSession)
     rest = []

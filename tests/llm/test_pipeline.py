@@ -33,6 +33,34 @@ def test_stages_on_planted_rows(spark, tmp_path):
     assert {r.doc_id for r in whole.select("doc_id").distinct().collect()} == ids["packing"]
 
 
+def test_near_copies_go_through_simhash(spark, monkeypatch):
+    """SimHash groups propose pairs first, and they are verified: texts with one fingerprint but unlike shingles both stay."""
+    from tessera.llm import simhash
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 6))) for _ in range(2000)]
+    texts = [" ".join(rng.choice(words) for _ in range(200)) for _ in range(20)]
+    rows = [*enumerate(texts), (50, texts[3].replace(" ", "  ")), (51, texts[4] + " end"), (60, None), (61, "")]
+    rows += [(70, "one two three four five six"), (71, "one two three four five six seven eight nine ten")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    proposed, verified, pairs, alike = [], [], simhash.fingerprint_pairs, simhash.alike
+
+    def seen(*args):
+        proposed.append(pairs(*args))
+        return proposed[-1]
+
+    def checked(some, *args):
+        verified.append(some)
+        return alike(some, *args)
+
+    monkeypatch.setattr(simhash, "fingerprint_pairs", seen)
+    monkeypatch.setattr(simhash, "alike", checked)
+    monkeypatch.setattr(simhash, "fingerprint", lambda text, words, of=simhash.fingerprint: 5 if text.startswith(b"one") else of(text, words))
+    kept = {r.doc_id for r in P.drop_near_duplicates(spark, docs, "").select("doc_id").collect()}
+    assert kept == set(range(20)) | {60, 70, 71}
+    assert len(proposed) == 1 and proposed[0].count() >= 2 and verified[0] is proposed[0]
+
+
 def test_empty_tables(spark, tmp_path):
     d = f"file://{tmp_path}"
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
